@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -159,13 +159,14 @@ def fit(labelled: DataFrame, stratum: str, good: str, alpha: float = 0.01, delta
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """docs (doc_id, text, lang) judged by rules calibrated on labels (doc_id, quality).
 
-    The labelled texts alone are measured for calibration, then every text once for its verdict."""
-    own = docs.select("doc_id", "text", "lang")
+    Every text is measured once; its counts (a few numbers a document) are written to the shared folder, and both
+    calibration and verdicts read them, so no text is shuffled."""
+    own = cut(measured(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "_q"))
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    thresholds = fit(measured(own.join(marks, "doc_id")), "lang", "_good", alpha, delta)
+    thresholds = fit(own.join(marks, "doc_id"), "lang", "_good", alpha, delta)
     q = F.col("_q")
     keep = ~base_failed(q) & thresholds.verdict(q, F.col("lang"))
-    return measured(own).select(
+    return own.select(
         "doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"),
         q["n_repeat_words"].alias("n_repeat_words"), base_failed(q).alias("base_failed"), keep.alias("kept"),
     )
