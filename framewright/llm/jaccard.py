@@ -32,7 +32,7 @@ from .common import cut, prepare
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEEPEST = 24, 8
-SMALL, BLOCK = 16, 64
+SMALL, BLOCK = 16, 256
 _U = np.uint64
 _M = [_U(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _rng = np.random.default_rng(17)
