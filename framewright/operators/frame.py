@@ -117,6 +117,10 @@ class Frame:
 
     # metadata and output
 
+    def result(self) -> DataFrame:
+        """The visible columns as a Spark DataFrame, without a sort."""
+        return self.sdf.select(*self._all().values())
+
     @property
     def shape(self) -> tuple[int, int]:
         return self.sdf.count(), len(self.columns)
