@@ -29,7 +29,7 @@ from .common import cut, prepare
 
 LENGTH, END = 4096, 1
 SALTS = 64
-#: Words whose ids a worker keeps before it starts anew.
+#: Chunks without white space, and words, whose ids a worker keeps before it starts anew.
 CACHE = 400_000
 #: How the tokenizer file splits lower-case text (a fixed value of that file), and characters for which its
 #: normalizer does what str.lower does; other texts go through the library whole.
@@ -37,20 +37,42 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ž]*+")
 
 
-class Words(dict):
-    """Word -> its ids as little-endian 32-bit bytes."""
+class Words:
+    """Ids, as little-endian 32-bit bytes, of chunks (runs without white space) and of the words they split into."""
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.keys())
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        vocab = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Many words in one call: each ends with an id that says so."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        own = ids.tobytes()
+        return [own[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks if c not in self.chunks]  # a set less a view would walk all keys
+        if len(self.chunks) + len(new) > CACHE:
+            self.chunks.clear()
+            new = list(chunks)
+        split = {c: SPLIT.findall(c) for c in new}
+        words = {w for s in split.values() for w in s}
+        fresh = [w for w in words if w not in self.words]
+        if len(self.words) + len(fresh) > CACHE:
+            self.words.clear()
+            fresh = list(words)
+        for at in range(0, len(fresh), 1000):
+            part = fresh[at : at + 1000]
+            self.words.update(zip(part, self.encoded(part), strict=True))
+        for c, s in split.items():
+            self.chunks[c] = b"".join(map(self.words.__getitem__, s))
 
 
 @lru_cache(maxsize=2)
@@ -64,20 +86,21 @@ def words(path: str) -> Words:
 
 
 def token_bytes(known: Words, texts: list[str | None]) -> list[bytes]:
-    """Ids of each whole text as bytes. Words are encoded once each: the tokenizer's splits never merge."""
+    """Ids of each whole text as bytes. Chunks are encoded once each: the tokenizer's splits never span white space
+    and never merge."""
     split: list[list[str] | None] = []
     fresh: set[str] = set()
     for t in texts:
         t = t or ""
         # "<|" could start a special token's string; combining marks never occur within PLAIN
         if PLAIN.fullmatch(t) and "<|" not in t:
-            split.append(SPLIT.findall(t.lower()))
+            split.append(t.lower().split())
             fresh.update(split[-1])
         else:
             split.append(None)
     known.learn(fresh)
     whole = lambda t: np.array(known.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    return [whole(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+    return [whole(t) if s is None else b"".join(map(known.chunks.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
