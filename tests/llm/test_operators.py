@@ -176,6 +176,22 @@ def test_packing(docs, texts):
     assert sum(r["length"] for r in rows) == sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
 
 
+def test_packing_cache(monkeypatch):
+    """Ids equal the tokenizer's own on odd texts, also when the caches start anew at every batch."""
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("framewright.llm.queries").tokenizer_path()
+    t = Tokenizer.from_file(path)
+    odd = ["it's O'Neil's 'tis 'll x12 ab12cd !!?? don't\t\r\n'quoted' a_b--c", None, "", " \n ", "ÄÖ ßtraße Ÿ é\xa0x", "<|endoftext|> < | hi", "a\x0bb\x0cc\x1cd\x85e İI", "5² ½ ª × a\xadb", "日本 e\u0301 ok", "w" * 5000]
+    expected = [[] if not x else t.encode(x, add_special_tokens=False).ids for x in odd]
+    for size in (packing.CACHE, 3):
+        monkeypatch.setattr(packing, "CACHE", size)
+        known = packing.Words(t)
+        for _ in range(2):
+            assert [list(memoryview(b).cast("I")) for b in packing.token_bytes(known, odd)] == expected
+            assert [list(memoryview(packing.token_bytes(known, [x])[0]).cast("I")) for x in odd] == expected
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
