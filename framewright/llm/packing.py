@@ -29,8 +29,8 @@ from .common import cut, prepare
 
 LENGTH, END = 4096, 1
 SALTS = 64
-#: Chunks without white space, and words, whose ids a worker keeps before it starts anew.
-CACHE = 400_000
+#: Chunks without white space and words they split into whose ids a worker keeps before it starts anew.
+CACHE = 600_000
 #: How the tokenizer file splits lower-case text (a fixed value of that file), and characters for which its
 #: normalizer does what str.lower does; other texts go through the library whole.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -42,10 +42,11 @@ class Words:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.model = tokenizer.model
+        self.known: dict[str, bytes] = {}
         vocab = tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.packed = [i.to_bytes(4, "little") for i in range(max(vocab.values()) + 1)]
+        self.last = np.zeros(len(self.packed), bool)  # ids that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def encoded(self, words: list[str]) -> list[bytes]:
@@ -57,22 +58,29 @@ class Words:
         own = ids.tobytes()
         return [own[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]  # a set less a view would walk all keys
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            new = list(chunks)
-        split = {c: SPLIT.findall(c) for c in new}
-        words = {w for s in split.values() for w in s}
-        fresh = [w for w in words if w not in self.words]
-        if len(self.words) + len(fresh) > CACHE:
-            self.words.clear()
-            fresh = list(words)
-        for at in range(0, len(fresh), 1000):
-            part = fresh[at : at + 1000]
-            self.words.update(zip(part, self.encoded(part), strict=True))
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of the chunks, none of which is known yet."""
+        if len(self.known) + len(chunks) > CACHE:
+            self.known.clear()
+        known = self.known
+        split = {c: SPLIT.findall(c) for c in chunks if not c.isalpha()}
+        fresh = {c for c in chunks if c.isalpha()}  # such a chunk is one word
+        fresh.update(w for s in split.values() for w in s if w not in known)
+        packed, tokens = self.packed, self.model.tokenize
+        out: dict[str, bytes] = {}
+        other: list[str] = []
+        for w in fresh:
+            if w.isascii():  # the byte-level alphabet keeps these characters, so the model needs no more
+                out[w] = b"".join([packed[t.id] for t in tokens(w)])
+            else:
+                other.append(w)
+        for at in range(0, len(other), 1000):
+            part = other[at : at + 1000]
+            out.update(zip(part, self.encoded(part), strict=True))
+        known.update(out)
         for c, s in split.items():
-            self.chunks[c] = b"".join(map(self.words.__getitem__, s))
+            out[c] = known[c] = b"".join([known[w] for w in s])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -88,19 +96,27 @@ def words(path: str) -> Words:
 def token_bytes(known: Words, texts: list[str | None]) -> list[bytes]:
     """Ids of each whole text as bytes. Chunks are encoded once each: the tokenizer's splits never span white space
     and never merge."""
-    split: list[list[str] | None] = []
-    fresh: set[str] = set()
+    found: list[tuple[list[str], list[bytes | None]] | None] = []
+    missing: set[str] = set()
+    get = known.known.get
     for t in texts:
         t = t or ""
         # "<|" could start a special token's string; combining marks never occur within PLAIN
         if PLAIN.fullmatch(t) and "<|" not in t:
-            split.append(t.lower().split())
-            fresh.update(split[-1])
+            chunks = t.lower().split()
+            own = list(map(get, chunks))
+            missing.update([c for c, ids in zip(chunks, own, strict=True) if ids is None])
+            found.append((chunks, own))
         else:
-            split.append(None)
-    known.learn(fresh)
-    whole = lambda t: np.array(known.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    return [whole(t) if s is None else b"".join(map(known.chunks.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+            found.append(None)
+    new = known.learn(missing)
+    out = []
+    for t, f in zip(texts, found, strict=True):
+        if f is None:
+            out.append(np.array(known.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+        else:
+            out.append(b"".join([new[c] if ids is None else ids for c, ids in zip(*f, strict=True)]))
+    return out
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
