@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import cut, held_out, table
+from framewright.llm.common import cut, held_out, numbered, table
 from framewright.llm.jaccard import near_duplicates
-from framewright.llm.language import UNKNOWN, fit, predict
+from framewright.llm.language import fit, relabel
 from framewright.llm.mixing import mix_sources
 from framewright.llm.packing import pack
 from framewright.llm.pii import redact
@@ -22,15 +22,17 @@ from framewright.llm.queries import tokenizer_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a known language go; lang becomes the predicted one."""
     decoder = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
-    rest = [c for c in docs.columns if c != "lang"]
-    told = predict(docs, decoder, rest).where(F.col("lang_pred") != UNKNOWN)
-    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return relabel(docs, decoder)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class stays; of rows that repeat its id, one."""
+    """The document of least id of each class stays; of rows that repeat its id, one. Rows without an id stay, of
+    equal texts among them one."""
     kept = near_duplicates(docs).where("class_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    digest = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    marked = numbered(rows.select(*docs.columns, digest))
+    return marked.dropDuplicates([f"c{docs.columns.index('doc_id')}", f"c{len(docs.columns)}"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,10 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs).select(*docs.columns)
+    """Rows are repeated to the mixture; the columns stay, also those named like the operator's own."""
+    rows = numbered(docs)
+    own = mix_sources(rows, id_col=f"c{docs.columns.index('doc_id')}", source=f"c{docs.columns.index('source')}")
+    return own.select(*rows.columns).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,8 @@ def fold_of(doc_id: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Null ids count as learnable."""
     return F.coalesce(fold_of(doc_id) == 1, F.lit(False))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ... in place of their names, which could clash with an operator's own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -18,10 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare
+from .common import held_out, numbered, prepare
 
 DIM = 2048
 UNKNOWN = "und"
@@ -156,29 +157,49 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_A_LANGUAGE, total: int =
     return Decoder(languages, codes, weights if weights.any() else np.ones(len(weights)), w, b)
 
 
-def predict(docs: DataFrame, decoder: Decoder | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred, score and ambiguous, for each row's whole text."""
+def decoded(m: Decoder | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores, whether ambiguous."""
+    n = len(texts)
+    pred, score, unsure = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+    for at in range(0, n, 500):
+        found = [(at + i, x) for i, t in enumerate(texts[at : at + 500]) if m is not None and (x := features(t)) is not None]
+        if found:
+            names, s, u = m.decode(np.array([x for _, x in found]))
+            for (i, _), name, si, ui in zip(found, names, s, u, strict=True):
+                pred[i], score[i], unsure[i] = name, si, ui
+    return pred, score, unsure
+
+
+def told(docs: DataFrame, decoder: Decoder | None) -> DataFrame:
+    """docs (numbered columns, so names can't clash) with lang_pred, score and ambiguous for each whole text. Other
+    columns pass as Arrow buffers, unchanged."""
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(decoder)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double, ambiguous boolean"
+    rows, text = numbered(docs), docs.columns.index("text")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, ambiguous boolean"
+    names = [*rows.columns, "lang_pred", "score", "ambiguous"]
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            pred, score, unsure = decoded(model.value, b.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names)
+
+    return rows.mapInArrow(batches, fields)
+
+
+def predict(docs: DataFrame, decoder: Decoder | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with lang_pred, score and ambiguous, for each row's whole text."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return told(docs, decoder).select(*[F.col(at[c]).alias(c) for c in keep], "lang_pred", "score", "ambiguous")
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        for f in frames:
-            n = len(f)
-            pred, score, unsure = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-            for at in range(0, n, 500):
-                found = [(at + i, x) for i, t in enumerate(f["_text"].iloc[at : at + 500]) if m is not None and (x := features(t)) is not None]
-                if found:
-                    names, s, u = m.decode(np.array([x for _, x in found]))
-                    for (i, _), name, si, ui in zip(found, names, s, u, strict=True):
-                        pred[i], score[i], unsure[i] = name, si, ui
-            yield f[keep].assign(lang_pred=pred, score=score, ambiguous=unsure)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(batches, fields)
+def relabel(docs: DataFrame, decoder: Decoder | None) -> DataFrame:
+    """docs with lang predicted; rows of unknown language go. All other columns stay, whatever their names."""
+    known = told(docs, decoder).where(F.col("lang_pred") != UNKNOWN)
+    return known.select(*[F.col("lang_pred" if c == "lang" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous; learnt from the rows that aren't held out."""
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    return predict(rows, fit(rows.where("not held_out")), ["doc_id", "held_out"])
+    return predict(rows.drop("lang"), fit(rows.where("not held_out")), ["doc_id", "held_out"])

@@ -7,7 +7,7 @@ copy and sorted by it within: a global shuffle without a sampling pass.
 
 Defined results: a null source is the source ''; a source that has no weight gets rate 0 unless weights is
 None (then weights follow rows ** temperature); repeated rows of one id share their count; an empty table
-gives an empty result. Columns that clash with the operator's own (n_copies, copy, shuffle_key) are replaced.
+gives an empty result. Columns named like the operator's own (n_copies, copy, shuffle_key) are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, numbered
 
 #: Sources up to which rates are broadcast (a row is under 9 KB); above, Spark joins them by shuffle.
 BROADCAST_SOURCES = 2000
@@ -56,6 +56,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, target_rows: int | None = None, seed: int = 7, id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """docs repeated to the target mixture and shuffled, with n_copies, copy (from 0) and shuffle_key."""
     docs = docs.drop("n_copies", "copy", "shuffle_key")
+    names = docs.columns
+    id_col, source = f"c{names.index(id_col)}", f"c{names.index(source)}"
+    docs = numbered(docs)
     rates = source_rates(docs, weights, temperature, target_rows, source)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = F.broadcast(rates) if few else rates
@@ -68,4 +71,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     counted = joined.withColumn("n_copies", many).where("n_copies > 0").drop("_source", "rate", "parts", "cdf")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(id_col).cast("string"), F.col("copy").cast("string")).cast("binary")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").toDF(*names, "n_copies", "copy", "shuffle_key")

@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import fingerprints, jaccard, language, mixing, packing, pii, quality, secrets, toxicity, urls
 
@@ -205,3 +206,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
         if name == "duplicates":
             assert {60, 61, 62} & {r["doc_id"] for r in out.collect()} == {60}
     assert out.count() > 0
+
+
+def test_pipeline_stages_odd_columns(spark, docs, tmp_path):
+    """Extra columns named like the operators' own keep their values; rows without an id stay."""
+    import corpus_pipeline
+
+    names = ["score", "lang_pred", "ambiguous", "_text", "_base", "_added", "_source", "rate", "parts", "cdf", "copy", "n_copies", "shuffle_key", "key", "rep", "c0", "class_id"]
+    out = docs.union(spark.createDataFrame([(None, f"the river under house number {w} and with the river", "en", None, None) for w in ("one", "two", "two")], SCHEMA))
+    for i, n in enumerate(names):
+        out = out.withColumn(n, F.lit(i))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out, stage(spark, out, "")
+        assert out.columns == before.columns
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert all(r[n] == i for r in out.collect() for i, n in enumerate(names))
+        if name == "duplicates":
+            assert sorted(r["text"].split()[5] for r in out.where("doc_id is null").collect()) == ["one", "two"]
+    assert corpus_pipeline.packing(spark, out, "").count() >= out.count() > 0
+
+
+def test_pipeline_stages_empty(spark, docs):
+    import corpus_pipeline
+
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0
+        stage(spark, nulls, "").collect()
