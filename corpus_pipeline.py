@@ -28,11 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each class stays; of rows that repeat its id, one. Rows without an id stay, of
     equal texts among them one."""
-    kept = near_duplicates(docs).where("class_id = doc_id or doc_id is null").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    digest = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    marked = numbered(rows.select(*docs.columns, digest))
-    return marked.dropDuplicates([f"c{docs.columns.index('doc_id')}", f"c{len(docs.columns)}"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    kept = near_duplicates(docs).where("class_id = doc_id").select(F.col("doc_id").cast("string").alias("own"), F.lit(True).alias("stays")).distinct()
+    # join and dropDuplicates share one exchange of the texts
+    marked = rows.withColumn("own", own).join(kept, "own", "left").where(doc_id.isNull() | F.col("stays"))
+    return marked.dropDuplicates(["own"]).select(*rows.columns).toDF(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ group, so no task holds a whole large bucket, and a pair that several trees matc
 only. A group returns per document the number of links found and one link towards the least document of its
 component there, not the pairs. Components of these links are found by distributed label passing.
 
-Defined results: documents without words (null text too) have no links and are classes of their own; a null
-doc_id is handled like any id; exact duplicates of rows are copies of each other; an empty table gives an empty
+Defined results: documents without words (null text too) have no links and are classes of their own; rows with a
+null doc_id are copies of rows with equal shingle sets, but no near duplicates; of different texts that share an id,
+one is compared; exact duplicates of rows are copies of each other; an empty table gives an empty
 result; columns other than doc_id and text are ignored.
 """
 
@@ -170,10 +171,13 @@ def links(docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> Dat
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[["rep", "bands", "mult"]].assign(s=[shingles(t, words).tobytes() for t in f["text"]])
+            own = [shingles(t, words).tobytes() for t in f["text"]]
+            right = [hashlib.md5(s).hexdigest() == k for s, k in zip(own, f["key"], strict=True)]  # another text may have the id
+            yield f[["rep", "bands", "mult"]].assign(s=own)[right]
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text", "key").join(wanted, ["rep", "key"]).dropDuplicates(["rep"])
-    payload = texts.select("rep", "bands", "mult", "text").mapInPandas(sets_of, "rep bigint, bands array<bigint>, mult bigint, s binary")
+    # texts are joined once, on the id alone; the sets' exchange for dropDuplicates serves the next join too
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep")
+    payload = texts.select("rep", "key", "bands", "mult", "text").mapInPandas(sets_of, "rep bigint, bands array<bigint>, mult bigint, s binary").dropDuplicates(["rep"])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -242,9 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     prepare(docs.sparkSession)
     own = cut(signed(docs, words, prefix_length(threshold, target)))
     reps = cut(own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("bands").alias("bands")))
-    # the text of a representative is any row with its id and key; keys tell rows of a repeated id apart
-    keyed = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("doc_id"), "key"), "doc_id")
-    found = links(keyed, reps.where("rep is not null"), words, threshold)
+    found = links(docs, reps.where("rep is not null"), words, threshold)
     classes = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
     by_key = reps.select("key", "rep", "mult").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
