@@ -6,8 +6,11 @@ of log-likelihoods, divided by the length, is compared with a threshold calibrat
 counts, such that a share FALSE_BLOCKS of them at most would be blocked.
 
 URLs to learn from are labelled by `spam_label`: rejected where the host holds a word of a fixed seed list. The
-models generalise from these hosts' characters to similar ones. Counts are gathered from all URLs, per partition
-first; contexts are hashed to a fixed number of cells, so the models' size (CELLS x orders x 2) has a bound.
+models generalise from these hosts' characters to similar ones. A gram is a character with its ORDER preceding
+ones. Counts by exact gram are a distributed table with a row per gram of any URL, so the models grow with the
+input; shorter contexts are sums over it. A gram's log-ratio joins the URLs that hold it: the HOT commonest at most
+from a broadcast, the others by a shuffle. Log-ratios are summed as integers, so sums don't depend on row order.
+The threshold is an exact quantile over all URLs kept from the counts.
 
 Defined results: null urls and such without '://' have empty host and path, no rule, and are allowed. Without
 rejected URLs to learn from, everything beyond the rules is allowed. Repeated rows get equal results.
@@ -15,20 +18,24 @@ rejected URLs to learn from, everything beyond the rules is allowed. Repeated ro
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare
 
-ORDER, CELLS = 5, 1 << 15
+ORDER = 5
 FALSE_BLOCKS = 0.001
-#: Kept from the counts at most, to calibrate.
-CALIBRATION = 20_000
+#: Log-ratios are summed in these fractions.
+UNIT = 1 << 30
+#: Grams that are broadcast at most; urls whose rows the last join deals over SALTS keys at most. No result depends on them.
+HOT, HOT_URLS, SALTS = 20_000, 1000, 64
+#: Rows of counts that a task holds before it passes them on, and scores of one bin that reach the driver.
+HELD, BIN = 500_000, 4096
 #: (rule, verdict): a host and all its subdomains, then the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Words that mark a rejected host.
@@ -57,123 +64,144 @@ def spam_label(host: Column) -> Column:
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(s) for s in SEEDS])).cast("int")
 
 
-def stacked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of all texts, each after ORDER zeros, and the number of their text (-1 at zeros)."""
-    data = ("\0" * ORDER).join(["", *texts])
-    x = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    lengths = np.array([len(t) for t in texts])
-    owner = np.full(len(x), -1)
-    starts = np.cumsum(lengths + ORDER) - lengths
-    for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-        owner[s : s + n] = i
-    return x, owner
-
-
-def cells(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per order 0 to ORDER and character: cells of its context, and of context with character."""
-    context = np.zeros(len(at), np.uint64)
-    ctx, full = [], []
-    for k in range(ORDER + 1):
-        if k:
-            context = (context + x[at - k] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            context ^= context >> np.uint64(29)
-        ctx.append((context * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(49))
-        full.append(((context + x[at] * np.uint64(0x165667B19E3779F9) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49))
-    return np.array(ctx), np.array(full)
-
-
-@dataclass
-class Ratio:
-    """counts: label x order x cell, of contexts and of contexts with a character."""
-
-    contexts: np.ndarray
-    full: np.ndarray
-    kinds: np.ndarray  # distinct continuations of a context's cell
-    threshold: float = np.inf
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Mean over characters of log p(rejected) - log p(accepted)."""
-        x, owner = stacked(texts)
-        at = np.flatnonzero(owner >= 0)
-        out = np.zeros(len(texts))
-        if not len(at):
-            return out
-        ctx, full = cells(x, at)
-        logs = []
-        for y in (0, 1):
-            p = np.full(len(at), 1 / 256)
-            for k in range(ORDER + 1):
-                n, t = self.contexts[y, k, ctx[k]], self.kinds[y, k, ctx[k]]
-                p = (self.full[y, k, full[k]] + t * p) / np.maximum(n + t, 1e-9) * (n > 0) + p * (n == 0)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        sums = np.bincount(owner[at], logs[1] - logs[0], len(texts))
-        return sums / np.maximum(np.bincount(owner[at], minlength=len(texts)), 1)
-
-
-def fit(urls: DataFrame, label: Column) -> Ratio | None:
-    """Models from all labelled urls (column _t: host and path). Counts are summed per partition, then by cell:
-    2 x (ORDER + 1) x 2 x CELLS numbers at most reach the driver."""
-    spark = prepare(urls.sparkSession)
-    rows = urls.select("_t", label.alias("_y"), (F.pmod(F.crc32(F.col("_t").cast("binary")), F.lit(10)) == 0).alias("_k")).where("_y is not null")
+def grams(text: str) -> Counter[str]:
+    """Counts of the characters of text, each after its ORDER preceding ones (zeros before the start)."""
+    padded = "\0" * ORDER + text
+    return Counter(padded[i : i + ORDER + 1] for i in range(len(text)))
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """g, n0, n1 for every gram of texts (_t, n rows, label y or null, kept): its counts among accepted and
+    rejected rows that aren't kept from the counts, so 0 where only others hold it; m, how many texts hold it."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        held: dict[str, list[int]] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(g, *v) for g, v in held.items()], columns=["g", "n0", "n1", "m"])
+
         for f in frames:
-            for y in (0, 1):
-                texts = list(f["_t"][(f["_y"] == y)])
-                for at in range(0, len(texts), 2000):
-                    x, owner = stacked(texts[at : at + 2000])
-                    chars = np.flatnonzero(owner >= 0)
-                    if len(chars):
-                        ctx, full = cells(x, chars)
-                        got = total.setdefault(y, np.zeros((2, ORDER + 1, CELLS), np.int64))
-                        for k in range(ORDER + 1):
-                            got[0, k] += np.bincount(ctx[k].astype(np.int64), minlength=CELLS)
-                            got[1, k] += np.bincount(full[k].astype(np.int64), minlength=CELLS)
-                            pair = np.unique((ctx[k] << np.uint64(15)) | full[k])
-                            kinds.setdefault((y, k), set()).update(pair.tolist())
-        for y, got in total.items():
-            which, k, cell = np.nonzero(got)
-            yield pd.DataFrame({"y": y, "w": which, "k": k, "c": cell, "d": 0, "n": got[which, k, cell]})
-        for (y, k), pairs in kinds.items():
-            p = np.array(sorted(pairs), np.int64)
-            yield pd.DataFrame({"y": y, "w": 2, "k": k, "c": p >> 15, "d": p & (CELLS - 1), "n": 1})
-
-    kinds: dict[tuple[int, int], set[int]] = {}
-    cellwise = rows.where("not _k").select("_t", "_y").mapInPandas(batches, "y int, w int, k int, c int, d int, n bigint").groupBy("y", "w", "k", "c", "d").agg(F.sum("n").alias("n"))
-    merged = cellwise.groupBy("y", "w", "k", "c").agg(F.when(F.col("w") == 2, F.count("*")).otherwise(F.sum("n")).alias("n"))
-    got = np.zeros((2, 3, ORDER + 1, CELLS), np.float32)
-    found = merged.toPandas()
-    got[found["y"], found["w"], found["k"], found["c"]] = found["n"]
-    if not got[0, 0, 0].any() or not got[1, 0, 0].any():
-        return None
-    model = Ratio(got[:, 0], got[:, 1], got[:, 2])
-    kept = [r["_t"] for r in rows.where("_k and _y = 0").select("_t", F.xxhash64("_t").alias("h")).orderBy("h").limit(CALIBRATION).collect()]
-    bad = [r["_t"] for r in rows.where("_k and _y = 1").select("_t", F.xxhash64("_t").alias("h")).orderBy("h").limit(CALIBRATION).collect()]
-    s = np.sort(model.scores(kept)) if kept else np.zeros(0)
-    top = float(s[min(len(s) - 1, int(np.ceil(len(s) * (1 - FALSE_BLOCKS))))]) if len(s) else 0.0
-    low = float(np.quantile(model.scores(bad), 0.02)) if bad else top
-    model.threshold = max(top, 0.0) if low <= max(top, 0.0) else (max(top, 0.0) + low) / 2
-    return model
-
-
-SCHEMA = "page_id bigint, host string, path string, rule string, verdict string, llr double"
+            for t, n, y, kept in zip(f["_t"], f["n"].tolist(), f["y"].tolist(), f["kept"], strict=True):
+                a, b = (0 if kept or y != v else n for v in (0, 1))
+                for g, c in grams(t).items():
+                    v = held.setdefault(g, [0, 0, 0])
+                    v[0] += a * c
+                    v[1] += b * c
+                    v[2] += 1
+                if len(held) > HELD:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    return texts.select("_t", "n", "y", "kept").mapInPandas(batches, "g string, n0 bigint, n1 bigint, m bigint").groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m")])
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """g, v: log p(rejected) - log p(accepted) of each gram's last character, in UNITs. From order 0 up, the
+    distribution of an order is mixed with the one below by Witten-Bell weights."""
+    levels = [counts.select("g", "n0", "n1")]
+    for k in range(ORDER, 0, -1):
+        levels.insert(0, cut(levels[0].select(F.substring("g", 2, k).alias("g"), "n0", "n1").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
+    p = None
+    for k, level in enumerate(levels):
+        context = level.withColumn("c", F.substring("g", 1, k)).groupBy("c").agg(
+            F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"),
+        )
+        rows = level.withColumn("c", F.substring("g", 1, k)).join(context, "c")
+        rows = rows.join(p.withColumnRenamed("g", "b"), F.substring("g", 2, k) == F.col("b")) if p is not None else rows.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)})
+        mixed = [F.when(F.col(f"all{y}") > 0, (F.col(f"n{y}") + F.col(f"t{y}") * F.col(f"p{y}")) / (F.col(f"all{y}") + F.col(f"t{y}"))).otherwise(F.col(f"p{y}")).alias(f"p{y}") for y in (0, 1)]
+        p = rows.select("g", *mixed)
+    return p.select("g", F.round((F.log("p1") - F.log("p0")) * UNIT).cast("bigint").alias("v"))
+
+
+def at_ranks(values: DataFrame, ranks: list[int]) -> list[float]:
+    """The values at these places (from 0) of the sorted rows of values (v, n times). Histograms are taken on the
+    executors, each within the bin that the one before found, until a bin has few values."""
+    found = []
+    for rank in ranks:
+        rows, below = values, 0
+        while rows.count() > BIN:
+            low, high = rows.agg(F.min("v"), F.max("v")).first()
+            bins = rows.withColumn("bin", F.least(F.floor((F.col("v") - low) / (high - low) * BIN), F.lit(BIN - 1)))
+            for r in bins.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect():
+                if below + r["n"] > rank:
+                    break
+                below += r["n"]
+            rows = bins.where(F.col("bin") == r["bin"]).select("v", "n")
+        for v, n in sorted(tuple(r) for r in rows.select("v", "n").collect()):
+            below += n
+            if below > rank:
+                break
+        found.append(v)
+    return found
 
 
-def filter_urls(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, llr (the normalised log-likelihood ratio) for every url."""
-    spark = prepare(pages.sparkSession)
-    host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_t", F.concat("host", "path"))
-    model = spark.sparkContext.broadcast(fit(rows, spam_label(F.col("host"))))
-    judged = rows.withColumn("_r", rule_for(F.col("host"), F.col("path"))).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("given"), "_t")
+def threshold_of(scored: DataFrame) -> float:
+    """From all texts (n rows, label y, llr) kept from the counts: above all but FALSE_BLOCKS of the accepted, and
+    where these lie apart, in the middle between them and all but a fiftieth of the rejected."""
+    values = cut(scored.where("kept and y is not null").groupBy("y", F.col("llr").alias("v")).agg(F.sum("n").alias("n")))
+    n = {r["y"]: r["n"] for r in values.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    side = [values.where(F.col("y") == y).select("v", "n") for y in (0, 1)]
+    top = at_ranks(side[0], [min(n[0] - 1, math.ceil(n[0] * (1 - FALSE_BLOCKS)))])[0] if 0 in n else 0.0
+    top = max(top, 0.0)
+    if 1 not in n:
+        return top
+    place = 0.02 * (n[1] - 1)
+    a, b = at_ranks(side[1], [math.floor(place), math.ceil(place)])
+    low = a + (b - a) * (place - math.floor(place))
+    return top if low <= top else (top + low) / 2
+
+
+def judged_texts(rows: DataFrame, label: Column) -> tuple[DataFrame, float]:
+    """_t, n, llr of each distinct text (column _t: host and path) of rows, and the threshold. Without labelled
+    texts of both kinds all llr are 0."""
+    prepare(rows.sparkSession)
+    texts = rows.select("_t", label.alias("y")).groupBy("_t").agg(F.count("*").alias("n"), F.first("y").alias("y"))
+    texts = cut(texts.withColumn("kept", F.pmod(F.crc32(F.col("_t").cast("binary")), F.lit(10)) == 0).withColumn("u", F.monotonically_increasing_id()))
+    counts = cut(counted(texts))
+    total = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("m").alias("m")).first()
+    if not total["n0"] or not total["n1"]:
+        return texts.select("_t", "n", F.lit(0.0).alias("llr")), math.inf
+    values = cut(ratios(counts))
+    common = counts.where(F.col("m") > total["m"] / HOT).select("g")
+    known = rows.sparkSession.sparkContext.broadcast({r["g"]: r["v"] for r in values.join(F.broadcast(common), "g").collect()})
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
+        hot = known.value
         for f in frames:
-            texts = list(f["_t"])
-            llr = np.concatenate([m.scores(texts[at : at + 2000]) if m else np.zeros(len(texts[at : at + 2000])) for at in range(0, len(texts), 2000)] or [np.zeros(0)])
-            own = np.where(llr > (m.threshold if m else np.inf), "block", "allow")
-            yield f[["page_id", "host", "path", "rule"]].assign(verdict=[o if g is None else g for g, o in zip(f["given"], own, strict=True)], llr=llr)
+            out: list[tuple[int, str | None, int]] = []
+            for u, t in zip(f["u"].tolist(), f["_t"], strict=True):
+                s = 0
+                for g, c in grams(t).items():
+                    if (v := hot.get(g)) is None:
+                        out.append((u, g, c))
+                    else:
+                        s += c * v
+                out.append((u, None, s))
+                if len(out) > HELD:
+                    yield pd.DataFrame(out, columns=["u", "g", "s"])
+                    out = []
+            yield pd.DataFrame(out, columns=["u", "g", "s"])
+
+    parts = cut(texts.select("u", "_t").mapInPandas(batches, "u bigint, g string, s bigint"))
+    joined = parts.where("g is not null").join(values, "g").select("u", (F.col("s") * F.col("v")).alias("s"))
+    sums = parts.where("g is null").select("u", "s").union(joined).groupBy("u").agg(F.sum("s").alias("s"))
+    llr = F.col("s") / float(UNIT) / F.greatest(F.length("_t"), F.lit(1))
+    scored = cut(texts.join(sums, "u").select("_t", "n", "y", "kept", llr.alias("llr")))
+    return scored.select("_t", "n", "llr"), threshold_of(scored)
+
 
-    return judged.mapInPandas(batches, SCHEMA)
+def filter_urls(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict, llr (the normalised log-likelihood ratio) for every url."""
+    host, path = parts(F.col("url"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("_t", F.concat("host", "path"))
+    texts, threshold = judged_texts(rows, spam_label(F.col("host")))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    often = [r["_t"] for r in texts.where(F.col("n") > max(total / HOT_URLS, 1)).select("_t").collect()]
+    # rows of a common url are dealt over SALTS keys
+    hot = F.col("_t").isin(often) if often else F.lit(False)
+    salted = rows.withColumn("_s", F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("bigint"))
+    spread = texts.select("_t", "llr", F.explode(F.when(hot, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))).alias("_s"))
+    rule = rule_for(F.col("host"), F.col("path"))
+    own = F.when(F.col("llr") > threshold, "block").otherwise("allow")
+    return salted.join(spread, ["_t", "_s"]).withColumn("_r", rule).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", own).alias("verdict"), "llr")

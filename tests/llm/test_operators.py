@@ -149,6 +149,56 @@ def test_urls(spark):
     assert all((out[10 + i]["verdict"] == "block") == (i % 5 == 0) for i in range(300))
 
 
+def test_urls_counts_are_exact(spark, monkeypatch):
+    """Log-ratios equal a brute-force model over all contexts, however many there are; broadcast grams don't matter."""
+    import math
+    import zlib
+
+    rng = random.Random(9)
+    texts = [f"{'casino-win' if i % 6 == 0 else 'quiet' + str(i % 9)}.example.org/fr/{rng.randrange(10**7)}/{rng.randrange(10**7)}" for i in range(1500)]
+    learnt = [(t, int("casino" in t)) for t in texts if zlib.crc32(t.encode()) % 10]
+    full = [[Counter() for _ in range(urls.ORDER + 1)] for _ in (0, 1)]
+    for t, y in learnt:
+        x = "\0" * urls.ORDER + t
+        for i in range(urls.ORDER, len(x)):
+            for k in range(urls.ORDER + 1):
+                full[y][k][x[i - k : i + 1]] += 1
+    ctx = [[Counter() for _ in f] for f in full]
+    kinds = [[Counter() for _ in f] for f in full]
+    for y in (0, 1):
+        for k in range(urls.ORDER + 1):
+            for g, n in full[y][k].items():
+                ctx[y][k][g[:-1]] += n
+                kinds[y][k][g[:-1]] += 1
+    assert len(kinds[0][urls.ORDER]) > 1 << 13
+
+    def llr(t):
+        x, total = "\0" * urls.ORDER + t, 0.0
+        for i in range(urls.ORDER, len(x)):
+            for y, sign in ((0, -1), (1, 1)):
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    g = x[i - k : i + 1]
+                    if n := ctx[y][k][g[:-1]]:
+                        p = (full[y][k][g] + kinds[y][k][g[:-1]] * p) / (n + kinds[y][k][g[:-1]])
+                total += sign * math.log(p)
+        return total / len(t)
+
+    pages = spark.createDataFrame([(i, "http://" + t) for i, t in enumerate(texts)], "page_id bigint, url string")
+    out = {r["page_id"]: r["llr"] for r in urls.filter_urls(pages).collect()}
+    assert all(out[i] == pytest.approx(llr(t), abs=1e-6) for i, t in enumerate(texts))
+    monkeypatch.setattr(urls, "HOT", 50)
+    assert {r["page_id"]: r["llr"] for r in urls.filter_urls(pages).collect()} == out
+
+
+def test_urls_threshold_ranks(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BIN", 8)
+    values = [(float(v % 97) ** 3, 1 + v % 4) for v in range(97)]
+    ordered = sorted(v for v, n in values for _ in range(n))
+    ranks = [0, 1, 100, len(ordered) - 2, len(ordered) - 1]
+    assert urls.at_ranks(spark.createDataFrame(values, "v double, n bigint"), ranks) == [ordered[r] for r in ranks]
+
+
 def test_quality(spark, docs, texts):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
     for r in quality.quality_rules(docs.dropDuplicates(["doc_id"]), labels).collect():
