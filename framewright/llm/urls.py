@@ -5,8 +5,9 @@ probability from its ORDER preceding characters; orders are interpolated by Witt
 of log-likelihoods, divided by the length, is compared with a threshold calibrated on accepted URLs kept from the
 counts, such that a share FALSE_BLOCKS of them at most would be blocked.
 
-URLs to learn from are labelled by `spam_label`: rejected where the host holds a word of a fixed seed list. The
-models generalise from these hosts' characters to similar ones. A gram is a character with its ORDER preceding
+URLs to learn from are labelled by `spam_label`: rejected where a word of the host is a stem of a fixed seed list
+with an ending, unclear and not learnt from where such a stem stands in it otherwise. The models generalise from
+these hosts' characters to similar ones. A gram is a character with its ORDER preceding
 ones. Counts by exact gram are a distributed table with a row per gram of any URL, so the models grow with the
 input; shorter contexts are sums over it. A gram's log-ratio joins the URLs that hold it: the HOT commonest at most
 from a broadcast, the others by a shuffle. Log-ratios are summed as integers, so sums don't depend on row order.
@@ -38,8 +39,14 @@ HOT, HOT_URLS, SALTS = 20_000, 1000, 64
 HELD, BIN = 500_000, 4096
 #: (rule, verdict): a host and all its subdomains, then the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Words that mark a rejected host.
-SEEDS = ("spam", "casino", "pills", "viagra", "porn", "xxx", "bet", "loan", "replica", "lottery")
+#: Stems of words that mark a rejected host, and the endings they may have.
+SEEDS = (
+    "ad", "adult", "advert", "affiliate", "bet", "betting", "bingo", "casino", "cialis", "clickbait", "escort", "fake", "gambl", "jackpot", "loan", "lotter", "lotto", "malware", "nude", "payday", "phish", "pill", "poker",
+    "popup", "porn", "porno", "replica", "roulette", "scam", "sex", "slot", "spam", "spyware", "sweepstake", "track", "viagra", "wager", "warez", "xxx",
+)
+ENDINGS = ("", "e", "y", "s", "es", "ies", "er", "ers", "ed", "ing", "ising", "izing", "mer", "mers", "ming")
+#: Stems of this length and longer make a host unclear wherever they stand in it, shorter ones at the start of a word.
+WITHIN = 3
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -60,8 +67,11 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
 
 
 def spam_label(host: Column) -> Column:
-    """1 where a label of the host, split at dots and dashes, is a seed word."""
-    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(s) for s in SEEDS])).cast("int")
+    """1 where a word of the host (a run of letters) is a seed stem with an ending; null, so learnt from by neither
+    model, where a stem stands in it otherwise; else 0."""
+    certain = rf"(?<!\p{{L}})({'|'.join(SEEDS)})({'|'.join(ENDINGS)})(?!\p{{L}})"
+    unclear = rf"({'|'.join(s for s in SEEDS if len(s) >= WITHIN)})|(?<!\p{{L}})({'|'.join(s for s in SEEDS if len(s) < WITHIN)})"
+    return F.when(host.rlike(certain), 1).when(~host.rlike(unclear), 0)
 
 
 def grams(text: str) -> Counter[str]:

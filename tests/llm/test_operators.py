@@ -199,6 +199,19 @@ def test_urls_threshold_ranks(spark, monkeypatch):
     assert urls.at_ranks(spark.createDataFrame(values, "v double, n bigint"), ranks) == [ordered[r] for r in ranks]
 
 
+def test_urls_junk_hosts(spark):
+    """Every junk host beyond the rules is blocked, also inflected ones; unclear ones teach neither model."""
+    junk = ["free-bets", "m.ads-track", "blog.adult-x", "casino-win", "www.cheap-pills", "spam-farm"]
+    rng = random.Random(3)
+    good = [f"{p}{a}{b}" for p in ("", "m.", "www.", "blog.") for a in ("ther", "thth", "tion") for b in ("ing", "es", "on", "ble")]
+    rows = [(i, f"http://{junk[i // 18 % 6] if i % 18 == 0 else rng.choice(good)}.example.net/en/{rng.randrange(10000)}") for i in range(2500)]
+    hosts = {"free-bets.org": 1, "ads24.com": 1, "tracking.net": 1, "spammers.de": 1, "gambling.org": 1, "better.org": None, "bestcasinos4u.com": None, "address.com": None, "road.org": 0, "quiet.example.org": 0, "": 0}
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.spam_label(F.col("h"))).collect()
+    assert {h: y for h, y in got} == hosts
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert all(r["rule"] is None for r in out) and all((r["verdict"] == "block") == (r["page_id"] % 18 == 0) for r in out)
+
+
 def test_quality(spark, docs, texts):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
     for r in quality.quality_rules(docs.dropDuplicates(["doc_id"]), labels).collect():
