@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import cut, held_out, numbered, table
-from framewright.llm.jaccard import near_duplicates
+from framewright.llm.jaccard import firsts, once, row_key
 from framewright.llm.language import fit, relabel
 from framewright.llm.mixing import mix_sources
 from framewright.llm.packing import pack
@@ -26,15 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class stays; of rows that repeat its id, one. Rows without an id stay, of
-    equal texts among them one."""
+    """The document of least id of each class stays, of a class without ids one; texts of different classes stay also
+    where they share an id or have none. Of rows without words, those that differ in id or text stay."""
     rows = numbered(docs)
     doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
-    kept = near_duplicates(docs).where("class_id = doc_id").select(F.col("doc_id").cast("string").alias("own"), F.lit(True).alias("stays")).distinct()
     # join and dropDuplicates share one exchange of the texts
-    marked = rows.withColumn("own", own).join(kept, "own", "left").where(doc_id.isNull() | F.col("stays"))
-    return marked.dropDuplicates(["own"]).select(*rows.columns).toDF(*docs.columns)
+    kept = once(rows.withColumn("row", row_key(doc_id, text)), "row").join(firsts(docs), "row")
+    return kept.dropDuplicates(["row"]).select(*rows.columns).toDF(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,10 +12,11 @@ group, so no task holds a whole large bucket, and a pair that several trees matc
 only. A group returns per document the number of links found and one link towards the least document of its
 component there, not the pairs. Components of these links are found by distributed label passing.
 
-Defined results: documents without words (null text too) have no links and are classes of their own; rows with a
-null doc_id are copies of rows with equal shingle sets, but no near duplicates; of different texts that share an id,
-one is compared; exact duplicates of rows are copies of each other; an empty table gives an empty
-result; columns other than doc_id and text are ignored.
+Shingle sets go by their md5, ids are only names: different texts that share an id are all compared, as are texts
+without an id. Defined results: documents without words (null text too) have no links and are classes of their own; a
+class or set of rows without any id has null for its name; unconnected classes may share their least id; exact
+duplicates of rows are copies of each other; an empty table gives an empty result; columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
@@ -97,19 +99,49 @@ def prefixes(s: np.ndarray, depth: int) -> np.ndarray:
     return h
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """md5 of a row's id and text; null differs from any value of either."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), F.when(text.isNull(), ":").otherwise("::"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def once(rows: DataFrame, name: str) -> DataFrame:
+    """rows with one of equal values of a column in each partition, so that a value of many rows fills no task."""
+    prepare(rows.sparkSession)
+    at = rows.columns.index(name)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in found:
+            new = []
+            for v in b.column(at).to_pylist():
+                new.append(v not in seen)
+                seen.add(v)
+            yield b if all(new) else b.filter(pa.array(new, pa.bool_()))
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    return rows.mapInArrow(batches, rows.schema)
+
+
 def signed(docs: DataFrame, words: int, depth: int) -> DataFrame:
-    """doc_id, key (of the shingle set; null without words), bands."""
+    """doc_id, row (its key), key (of the shingle set; null without words), bands."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keys, bands = [], []
             for t in f["text"]:
                 s = shingles(t, words)
-                keys.append(hashlib.md5(s.tobytes()).hexdigest() if len(s) else None)
+                keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 bands.append(prefixes(s, depth).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "key": keys, "bands": bands})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "row": f["row"], "key": keys, "bands": bands})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(batches, "doc_id bigint, key string, bands array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    # the id passes as text, as pandas holds bigints with nulls as floats
+    return (
+        rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+        .mapInPandas(batches, "doc_id string, row binary, key binary, bands array<bigint>")
+        .withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    )
 
 
 def common_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -154,38 +186,36 @@ def verified(tree: int, sets: list[np.ndarray], bands: np.ndarray, block: np.nda
 
 
 def links(docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> DataFrame:
-    """rep, root, n_docs, n_texts: what each group found for each of its documents."""
-    member = reps.select("rep", F.posexplode("bands").alias("tree", "band"))
+    """key, node and root (no_id, id, key), n_docs, n_texts: what each group found for each of its documents."""
+    member = reps.select("key", F.posexplode("bands").alias("tree", "band"))
     sizes = member.groupBy("tree", "band").agg(F.count("*").alias("m")).where("m > 1")
     member = cut(member.join(sizes, ["tree", "band"]))
     # small buckets: equal sets of members are compared once, in their first tree
-    sets = member.where(F.col("m") <= SMALL).groupBy("tree", "band").agg(F.sort_array(F.collect_list("rep")).alias("members"))
-    once = sets.groupBy("members").agg(F.min(F.struct("tree", "band")).alias("g"))
-    small = once.select("g.tree", "g.band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode("members").alias("rep"), F.lit(0).alias("block"))
+    sets = member.where(F.col("m") <= SMALL).groupBy("tree", "band").agg(F.sort_array(F.collect_list("key")).alias("members"))
+    distinct = sets.groupBy("members").agg(F.min(F.struct("tree", "band")).alias("g"))
+    small = distinct.select("g.tree", "g.band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode("members").alias("key"), F.lit(0).alias("block"))
     n = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = member.where(F.col("m") > SMALL).withColumn("block", F.pmod(F.xxhash64("rep"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    large = large.select("tree", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block")
+    large = member.where(F.col("m") > SMALL).withColumn("block", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    large = large.select("tree", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
     groups = small.unionByName(large)
-    wanted = reps.join(member.select("rep").distinct(), "rep", "left_semi")
+    wanted = reps.join(member.select("key").distinct(), "key", "left_semi").select("key", "rep.no_id", "rep.id", "rep.row", "bands", "mult")
     limit = Fraction(str(threshold))
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            own = [shingles(t, words).tobytes() for t in f["text"]]
-            right = [hashlib.md5(s).hexdigest() == k for s, k in zip(own, f["key"], strict=True)]  # another text may have the id
-            yield f[["rep", "bands", "mult"]].assign(s=own)[right]
+            yield f[["key", "no_id", "id", "bands", "mult"]].assign(s=[shingles(t, words).tobytes() for t in f["text"]])
 
-    # texts are joined once, on the id alone; the sets' exchange for dropDuplicates serves the next join too
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep")
-    payload = texts.select("rep", "key", "bands", "mult", "text").mapInPandas(sets_of, "rep bigint, bands array<bigint>, mult bigint, s binary").dropDuplicates(["rep"])
+    # texts are joined once, on the row's key alone; the sets' exchange for dropDuplicates serves the next join too
+    texts = once(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text"), "row").join(wanted, "row")
+    payload = texts.select("key", "no_id", "id", "bands", "mult", "text").mapInPandas(sets_of, "key binary, no_id boolean, id bigint, bands array<bigint>, mult bigint, s binary").dropDuplicates(["key"])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
 
-        def result(key, rows) -> list[tuple[int, int, int, int]]:
+        def result(key, rows) -> list[tuple]:
             if len(rows) < 2:
                 return []
-            ids = [r[0] for r in rows]
+            ids = [r[0] for r in rows]  # no_id, id, key
             mult = np.array([r[2] for r in rows])
             x, y = verified(key[0], [np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[1] for r in rows]), np.array([r[4] for r in rows]), key[2] != key[3], limit)
             root = list(range(len(ids)))
@@ -203,12 +233,12 @@ def links(docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> Dat
                     root[v] = u
             texts = np.bincount(x, minlength=len(ids)) + np.bincount(y, minlength=len(ids))
             total = np.bincount(x, mult[y], len(ids)) + np.bincount(y, mult[x], len(ids))
-            return [(ids[i], ids[find(i)], int(total[i]), int(texts[i])) for i in np.flatnonzero(texts).tolist()]
+            return [(*ids[i], *ids[find(i)], int(total[i]), int(texts[i])) for i in np.flatnonzero(texts).tolist()]
 
-        out: list[tuple[int, int, int, int]] = []
-        names = ["rep", "root", "n_docs", "n_texts"]
+        out: list[tuple] = []
+        names = ["no_id", "id", "key", "root_no_id", "root_id", "root_key", "n_docs", "n_texts"]
         for f in frames:
-            for tree, band, i, j, *row in zip(f["tree"], f["band"], f["i"], f["j"], f["rep"], f["bands"], f["mult"], f["s"], f["block"], strict=True):
+            for tree, band, i, j, *row in zip(f["tree"], f["band"], f["i"], f["j"], zip(f["no_id"], f["id"], f["key"], strict=True), f["bands"], f["mult"], f["s"], f["block"], strict=True):
                 if (tree, band, i, j) != at:
                     out += result(at, held)
                     at, held = (tree, band, i, j), []
@@ -220,8 +250,11 @@ def links(docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> Dat
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    dealt = groups.join(payload, "rep").repartition("tree", "band", "i", "j").sortWithinPartitions("tree", "band", "i", "j", "rep")
-    return cut(dealt.mapInPandas(compare, "rep bigint, root bigint, n_docs bigint, n_texts bigint"))
+    dealt = groups.join(payload, "key").repartition("tree", "band", "i", "j").sortWithinPartitions("tree", "band", "i", "j", "key")
+    found = cut(dealt.mapInPandas(compare, "no_id boolean, id bigint, key binary, root_no_id boolean, root_id bigint, root_key binary, n_docs bigint, n_texts bigint"))
+    return found.select(
+        "key", F.struct("no_id", "id", "key").alias("node"), F.struct(*[F.col(f"root_{c}").alias(c) for c in ("no_id", "id", "key")]).alias("root"), "n_docs", "n_texts",
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,18 +272,33 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def classed(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, key), and one row per shingle set: key, rep (no_id, id, row: its first row by id), mult, n_docs,
+    n_texts (null without links) and label (no_id, id, key: the first set by id of its component; its own without links)."""
+    prepare(docs.sparkSession)
+    own = cut(signed(docs, words, prefix_length(threshold, target)))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), "row"))
+    reps = cut(own.where("key is not null").groupBy("key").agg(rep.alias("rep"), F.count("*").alias("mult"), F.first("bands").alias("bands")))
+    found = links(docs, reps, words, threshold)
+    classes = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node.key", "label")
+    counts = found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
+    label = F.coalesce("label", F.struct("rep.no_id", "rep.id", "key"))
+    return own.select("doc_id", "row", "key"), reps.drop("bands").join(counts, "key", "left").join(classes, "key", "left").withColumn("label", label)
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """row: the keys of the rows that stay, one of each class. Rows without words are classes of their own."""
+    own, by_key = classed(docs)
+    return by_key.where("label.key = key").select("rep.row").union(own.where("key is null").select("row").distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its component of links and copies), copy_of (the
     least doc_id with an equal shingle set), n_links (other documents that are similar enough, copies
     included) and n_link_texts (different shingle sets among them, its own not counted)."""
-    prepare(docs.sparkSession)
-    own = cut(signed(docs, words, prefix_length(threshold, target)))
-    reps = cut(own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("bands").alias("bands")))
-    found = links(docs, reps.where("rep is not null"), words, threshold)
-    classes = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
-    by_key = reps.select("key", "rep", "mult").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    return own.select("doc_id", "key").join(by_key, "key", "left").select(
-        "doc_id", F.coalesce("label", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"),
+    own, by_key = classed(docs, words, threshold, target)
+    named = by_key.select("key", F.when(~F.col("label.no_id"), F.col("label.id")).alias("class"), F.when(~F.col("rep.no_id"), F.col("rep.id")).alias("copy"), "mult", "n_docs", "n_texts")
+    return own.select("doc_id", "key").join(named, "key", "left").select(
+        "doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("copy", "doc_id").alias("copy_of"),
         (F.coalesce("mult", F.lit(1)) - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("bigint").alias("n_link_texts"),
     )

@@ -133,6 +133,26 @@ def test_jaccard(docs):
     assert {d: r["n_links"] for d, r in out.items()} == links and {out[d]["class_id"] for d in (60, 61, 62)} == {60}
 
 
+def test_jaccard_shared_ids(spark, tmp_path):
+    """Different texts under one id or without one are all compared; the stage keeps one text of each class."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (1, c), (2, b + " end"), (None, c + " end"), (3, a), (None, d), (None, d + " end"), (None, d), (7, ""), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    out = jaccard.near_duplicates(docs.orderBy("text")).collect()
+    got = Counter(tuple(r) for r in out)
+    copies = [(1, 1, 1, 1, 0), (3, 1, 1, 1, 0)]
+    near = [(1, 1, 1, 1, 1), (2, 1, 2, 1, 1), (1, 1, 1, 1, 1), (None, 1, None, 1, 1)]
+    loose = [(None, None, None, 2, 1)] * 3 + [(7, 7, 7, 0, 0)] * 3
+    assert got == Counter(copies + near + loose)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.duplicates(spark, docs, "").collect()]
+    free = [t for i, t in kept if i is None]
+    assert Counter(k for k in kept if k[0] is not None) == Counter([(1, a), (1, b), (1, c), (7, ""), (7, None)]) and len(free) == 1 and free[0].startswith(d)
+
+
 def test_mixing(docs):
     out = mixing.mix_sources(docs, temperature=0.0, seed=3)
     rows = out.collect()
