@@ -2,9 +2,10 @@
 
 A k-mer (K characters) is a closed syncmer if the smallest of its inner S-mers by hash stands at either end.
 Whether it is chosen depends on the k-mer alone, so an edit moves only anchors that it touches. Texts are padded
-with K - 1 zeros on either side, which gives short texts anchors too. The fingerprint lists, in order of
-position, the KEEP anchors of smallest hash: a bottom sketch that two texts can be compared by. `likeness`
-estimates the Jaccard similarity of anchors, counting only shared anchors that keep their order.
+with K - 1 zeros on either side, which gives short texts anchors too. The fingerprint lists all anchors in order of
+position: base64 of 5 bytes an anchor, the distance from the anchor before (K - S + 1 at most, from 0 for the first)
+and 32 bits of its hash. `likeness` is the Jaccard similarity of anchors, counting only shared anchors that keep
+their order.
 
 Defined results: null text counts as empty; an empty text's fingerprint is '' (two of them are alike 1, one and
 another text 0); equal texts have equal fingerprints.
@@ -12,6 +13,7 @@ another text 0); equal texts have equal fingerprints.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from bisect import bisect_left
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import let, prepare
 
-K, S, KEEP = 16, 6, 64
+K, S = 16, 6
+#: Characters of a batch's texts after which its rows are passed on.
+HELD = 4_000_000
+PACKED = np.dtype([("step", "u1"), ("hash", ">u4")])
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
@@ -59,35 +64,41 @@ def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """KEEP distinct anchors of smallest hash (32 bits each), by first position."""
+    """Steps and hashes (32 bits each) of all anchors, by position."""
     if not text:
-        return np.empty(0, dtype=np.uint32)
-    _, hashes = anchors(code_points(text))
-    short = (hashes >> _U(32)).astype(np.uint32)
-    values, first = np.unique(short, return_index=True)
-    keep = first[:KEEP]
-    return short[np.sort(keep)]
+        return np.empty(0, dtype=PACKED)
+    at, hashes = anchors(code_points(text))
+    out = np.empty(len(at), dtype=PACKED)
+    out["step"], out["hash"] = np.diff(at, prepend=0), hashes >> _U(32)
+    return out
 
 
 def as_text(fp: np.ndarray) -> str:
-    return fp.astype(">u4").tobytes().hex()
+    return base64.b64encode(fp.tobytes()).decode()
+
+
+def distinct(fp: np.ndarray) -> np.ndarray:
+    """Distinct hashes by first position."""
+    h = fp["hash"].astype(np.uint32)
+    return h[np.sort(np.unique(h, return_index=True)[1])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: shared anchors in common order among the smallest of both sketches."""
+    """0 to 1: shared anchors in common order among all distinct ones of both fingerprints."""
     if len(a) == len(b) and (a == b).all():
         return 1.0
     if not len(a) or not len(b):
         return 0.0
-    union = np.union1d(a, b)[: max(KEEP, min(len(a), len(b)))] if max(len(a), len(b)) >= KEEP else np.union1d(a, b)
-    limit = union[-1]
-    where = {v: i for i, v in enumerate(b.tolist()) if v <= limit}
+    a, b = distinct(a), distinct(b)
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    same = int(other[0]) if len(other) else n  # a common start is in the longest common order
+    shared, at, to = np.intersect1d(a[same:], b[same:], assume_unique=True, return_indices=True)
     tails: list[int] = []
-    for v in a.tolist():
-        if v <= limit and (p := where.get(v)) is not None:
-            i = bisect_left(tails, p)
-            tails[i : i + 1] = [p]
-    return len(tails) / len(union)
+    for p in to[np.argsort(at)].tolist():
+        i = bisect_left(tails, p)
+        tails[i : i + 1] = [p]
+    return (same + len(tails)) / (len(a) + len(b) - same - len(shared))
 
 
 def edited(text: str, following: str) -> str:
@@ -151,7 +162,7 @@ def fingerprints(docs: DataFrame, rows_a_bucket: int = 1000, least: int = 1, mos
 
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for f in frames:
-            rows = []
+            rows, size = [], 0
             for doc_id, text, b, own in zip(f["doc_id"], f["text"], f["_bucket"], f["_own"], strict=True):
                 fp = fingerprint(text)
                 if held is not None:
@@ -162,6 +173,9 @@ def fingerprints(docs: DataFrame, rows_a_bucket: int = 1000, least: int = 1, mos
                 if held is None or held[0] != b:
                     firsts = {b: (text, fp)}
                 held = (b, None if pd.isna(doc_id) else int(doc_id), text, fp) if own else None
+                if (size := size + len(text)) > HELD:
+                    yield frame(rows, names)
+                    rows, size = [], 0
             yield frame(rows, names)
         if held is not None:
             yield frame([row(held, *firsts[held[0]])], names)

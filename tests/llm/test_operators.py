@@ -60,6 +60,27 @@ def test_fingerprints(docs, texts):
     assert out[60]["near_next"] < 1 and out[61]["near_next"] > 0.8
 
 
+def test_fingerprints_keep_all(texts):
+    """All anchors stay with their positions, so long texts that share a passage are found alike."""
+    import base64
+
+    import numpy as np
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, a, b = text(50), text(3000), text(3000)
+    one, two = a + " " + passage + " " + text(2000), b + " " + passage + " " + text(1000)
+    x, y = fingerprints.fingerprint(one), fingerprints.fingerprint(two)
+    back = np.frombuffer(base64.b64decode(fingerprints.as_text(x)), fingerprints.PACKED)
+    at, hashes = fingerprints.anchors(fingerprints.code_points(one))
+    assert (np.cumsum(back["step"].astype(int)) == at).all() and (back["hash"] == hashes >> np.uint64(32)).all()
+    p, q = fingerprints.distinct(x).tolist(), fingerprints.distinct(y).tolist()
+    both = set(p) & set(q)
+    assert len(both) > 30 and fingerprints.likeness(x, y) == pytest.approx(len(both) / len(set(p) | set(q)), rel=0.1)
+    assert fingerprints.likeness(fingerprints.fingerprint(a + b), fingerprints.fingerprint(b + a)) < 0.6
+    assert max(int(fingerprints.fingerprint(t)["step"].max()) for t in texts.values() if t) <= fingerprints.K - fingerprints.S + 1
+
+
 def test_language(docs):
     out = {r["doc_id"]: r for r in language.identify(docs).collect()}
     right = [r["lang_pred"] == ("de" if d % 3 == 0 else "en") for d, r in out.items() if d < 60 and r["held_out"]]
