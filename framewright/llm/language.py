@@ -19,15 +19,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, numbered, prepare
 
 DIM = 2048
 UNKNOWN = "und"
-#: Rows of the training sample, per language and in all.
-SAMPLE_A_LANGUAGE, SAMPLE = 800, 6000
+#: Rows of the training sample: a language at most, and in all; but each language has LEAST, however many there are.
+SAMPLE_A_LANGUAGE, SAMPLE, LEAST = 800, 6000, 20
 AMBIGUOUS = 0.2
 
 _fold: np.ndarray | None = None
@@ -74,7 +74,7 @@ def codebook(n: int, seed: int = 5) -> np.ndarray:
     best, score = None, -1
     for _ in range(200):
         c = rng.choice([-1.0, 1.0], (n, bits))
-        d = min((c[i] != c[j]).sum() for i, j in combinations(range(n), 2))
+        d = min(int((bits - c[i] @ c[i + 1 :].T).min()) // 2 for i in range(n - 1))
         d = d if (np.abs(c.sum(0)) < n).all() else -1
         best, score = (c, d) if d > score else (best, score)
     return best
@@ -90,7 +90,7 @@ class Decoder:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         margins = x @ self.planes + self.bias
-        return (np.logaddexp(0, -margins[:, None, :] * self.codes[None]) * self.weights).sum(2)
+        return (np.logaddexp(0, -margins) * self.weights) @ (self.codes > 0).T + (np.logaddexp(0, margins) * self.weights) @ (self.codes < 0).T
 
     def decode(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores, whether ambiguous."""
@@ -120,16 +120,17 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4.0,
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_A_LANGUAGE, total: int = SAMPLE) -> Decoder | None:
-    """A decoder from labelled rows (doc_id, text, lang). At most `per_language` rows of a language and `total`
-    rows in all, of least hash, are fitted: their features (DIM floats a row) come to the driver."""
+    """A decoder from labelled rows (doc_id, text, lang), for every lang that isn't null. At most `per_language` rows
+    of a language and `total` rows in all (but LEAST a language), of least hash, are fitted: their features (DIM floats
+    a row) come to the driver."""
     spark = prepare(labelled.sparkSession)
-    rows = labelled.where("lang is not null").select("doc_id", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
     if not counts:
         return None
-    per = max(1, min(per_language, total // len(counts)))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per / n + 20 / n))])
-    picked = labelled.where(F.col("lang").isin(list(counts))).where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang")))
+    per = max(1, min(per_language, max(LEAST, total // len(counts))))
+    shares = spark.createDataFrame([(k, min(1.0, 1.5 * per / n + 20 / n)) for k, n in sorted(counts.items())], "lang string, share double")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = labelled.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(part < F.col("share"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -137,19 +138,15 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_A_LANGUAGE, total: int =
             yield pd.DataFrame(found, columns=["lang", "h", "x"])
 
     hashed = picked.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInPandas(batches, "lang string, h bigint, x binary")
-    got = hashed.orderBy("h", "lang").limit(2 * total).collect()
-    seen: dict[str, int] = {}
-    kept = []
-    for r in got:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per:
-            kept.append(r)
-    languages = sorted(seen)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))
+    kept = hashed.withColumn("i", order).where(F.col("i") <= per).orderBy("h", "lang").collect()
+    languages = sorted({r["lang"] for r in kept})
     codes = codebook(len(languages))
     if len(languages) < 2:
         return Decoder(languages, codes, np.ones(0), np.zeros((DIM, 0)), np.zeros(0)) if languages else None
     x = np.array([np.frombuffer(r["x"], np.float32) for r in kept])
-    y = codes[[languages.index(r["lang"]) for r in kept]].astype(np.float32)
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = codes[[place[r["lang"]] for r in kept]].astype(np.float32)
     check = np.arange(len(x)) % 5 == 0 if len(x) >= 50 else np.zeros(len(x), bool)
     w, b = logistic(x[~check], y[~check])
     right = (((x[check] @ w + b) * y[check]) > 0).mean(0) if check.any() else np.ones(codes.shape[1])

@@ -89,6 +89,17 @@ def test_language(docs):
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 8
 
 
+def test_language_many(spark):
+    """More than 200 languages, the rare ones too, are all learnt."""
+    names = [f"l{i}" for i in range(230)]
+    word = lambda i: chr(0x4E00 + 9 * i) + chr(0x4E01 + 9 * i)
+    rows = [(i * 100 + j, f"{word(i)} {word(i)} x {word(i)}{j}", n) for i, n in enumerate(names) for j in range(2 if i < 30 else 6)]
+    decoder = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert decoder.languages == sorted(names)
+    pred, _, _ = language.decoded(decoder, [f"{word(i)} {word(i)}" for i in range(230)])
+    assert sum(p == n for p, n in zip(pred, names, strict=True)) > 200
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice(("ba", "lo", "ti", "re", "nu")) for _ in range(rng.randint(1, 4))) for _ in range(200)]
