@@ -68,10 +68,11 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4.5 * 0.6 + classes * 0.1 + min(n, 40) / 40 * 0.2) * (0.5 if value.isalpha() and value.islower() else 1.0)
 
 
-def name_before(text: str, at: int) -> str:
-    """The name that ends before an operator: identifier, quoted key or subscript."""
+def name_before(text: str, at: int, floor: int = 0) -> str:
+    """The name that ends before an operator, after any blanks: identifier, quoted key or subscript. Blanks end at
+    floor, where the operator before ends, so that none is read twice."""
     end = at
-    while end > 0 and at - end < 8 and text[end - 1] in " \t":
+    while end > floor and text[end - 1] in " \t":
         end -= 1
     start = end
     while start > 0 and end - start < LONGEST_NAME and NAME_END.match(text[start - 1]):
@@ -97,17 +98,37 @@ def quoted(text: str, at: int, ends: dict[str, int]) -> int:
     return -1
 
 
+def literal_at(text: str, at: int, ends: dict[str, int]) -> tuple[int, int] | None:
+    """Where the literal that starts at a quote starts and ends within its quotes. Those of three quotes and of
+    backticks may hold any lines; others lines without blanks, or PEM."""
+    q = text[at]
+    if text.startswith(q * 3, at) and q != "`":
+        if ends.get(q * 3, -1) != 0:
+            if (stop := text.find(q * 3, at + 3)) >= 0:
+                return at + 3, stop
+            ends[q * 3] = 0
+        return None
+    if (stop := quoted(text, at, ends)) < 0:
+        return None
+    if q != "`" and "\n" in text[at + 1 : stop]:
+        value = text[at + 1 : stop]
+        if not value.lstrip().startswith("-----BEGIN") and any(" " in line.strip() or "\t" in line.strip() for line in value.split("\n")):
+            return None
+    return at + 1, stop
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], str]]:
     """(name, literal, its pieces' spans, the name it refers to instead) in order of the text."""
     ends: dict[str, int] = {}
-    done = 0
+    done = last = 0
     for m in OPERATOR.finditer(text):
+        floor, last = last, m.end()
         if m.start() < done:
             continue
         at = m.end()
         while at < len(text) and text[at] in "=:> \t":
             at += 1
-        name = name_before(text, m.start())
+        name = name_before(text, m.start(), floor)
         if not name or at >= len(text) or text[at] == "\n":
             continue
         if c := CALL.match(text, at):
@@ -116,14 +137,14 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], str]]:
                 at = k.end()
         if at < len(text) and text[at] in "\"'`":
             pieces, value = [], ""
-            while at < len(text) and text[at] in "\"'`" and (stop := quoted(text, at, ends)) >= 0 and "\n" not in text[at + 1 : stop]:
-                pieces.append((at + 1, stop))
-                value += text[at + 1 : stop]
-                at = stop + 1
+            while at < len(text) and text[at] in "\"'`" and (piece := literal_at(text, at, ends)):
+                pieces.append(piece)
+                value += text[piece[0] : piece[1]]
+                at = piece[1] + (3 if text.startswith(text[at] * 3, at) and piece[0] == at + 3 else 1)
                 j = JOINT.match(text, at)
                 at = j.end() if j else at
             if pieces:
-                done = pieces[-1][1] + 1
+                done = at
                 yield name, value, pieces, ""
         elif b := BARE.match(text, at):
             value = b.group()
@@ -133,8 +154,9 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], str]]:
                 yield name, value, [b.span()], ""
 
 
-URL = re.compile(r"://[^\s:/@]{1,128}:([^\s:/@]{6,256})@")
-ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{1,64})>([^<>\s]{6,512})</\1>")
+# No upper bounds; possessive, so that a run is read once.
+URL = re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]++)>([^<>\s]{6,}+)</\1>")
 
 
 def literals(text: str) -> list[tuple[int, int]]:

@@ -49,6 +49,22 @@ def test_secrets(docs, texts):
     assert len(out) == docs.count() and next(r for r in out if r["doc_id"] == 63)["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_beyond_bounds():
+    """Aligned operators, long values and literals of several lines."""
+    rng = random.Random(5)
+    raw = lambda n: "".join(rng.choice("abcdefgXYZ0123456789") for _ in range(n))
+    a, b, c, d = raw(24), raw(900), raw(400), "\n".join(raw(40) for _ in range(3))
+    pem = "-----BEGIN PRIVATE KEY-----\n" + d + "\n-----END PRIVATE KEY-----"
+    cases = {
+        "signing_key" + " " * 40 + f'= "{a}"\n': a, f"<private-token>{b}</private-token>": b, f"<{'x' * 70}-private-token>{a}</{'x' * 70}-private-token>": a, f"db://user:{c}@host/": c,
+        f'signing_key = """{d}"""\n': d, f"signing_key = `{d}`;": d, f'private_key = "{pem}"': pem, f"signing_key = '{d}'": d,
+    }
+    for text, secret in cases.items():
+        assert secret in [text[s:e] for s, k, e in secrets.scan(text)[1] if k == 3], text[:40]
+    text = f"it: 'tis a line\nthat don't end\nsigning_key = '{a}'"
+    assert [text[s:e] for s, k, e in secrets.scan(text)[1]] == [a]
+
+
 def test_fingerprints(docs, texts):
     out = {r["doc_id"]: r for r in fingerprints.fingerprints(docs, rows_a_bucket=7).collect()}
     order = sorted(texts, reverse=True)
