@@ -1,10 +1,11 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding with exact verification.
 
 A document is the set of its WORDS-word shingles (words are runs without white space; one with fewer words is one
-shingle of all). Each of TREES prefix tries sorts documents by a MinHash signature of DEEPEST values; two
-documents match in a tree where their prefixes agree. The prefix is shortened from DEEPEST values until the
-probability that a pair at the threshold matches in some tree reaches the target recall (more similar pairs match
-likelier still). Matching pairs are verified exactly, on 64-bit shingle hashes.
+shingle of all). Each of TREES bands hashes a MinHash prefix of a document; two documents match in a band where their
+prefixes agree. The prefix has the greatest fixed length, DEEPEST at most, at which the probability that a pair at
+the threshold matches in some band reaches the target recall (more similar pairs match likelier still); it doesn't
+depend on the data, unlike in an LSH forest, whose tries would find the same pairs at that depth. Matching
+pairs are verified exactly, on 64-bit shingle hashes.
 
 Documents with equal shingle sets form one class of copies, of which one document is compared. Buckets of one
 prefix go to tasks as blocks: a bucket of m documents makes blocks of about BLOCK, and each pair of blocks is one
