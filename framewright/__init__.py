@@ -12,7 +12,7 @@ from .sources.text import parse_csv, parse_json, parse_table, parse_tsv, read_cs
 DataFrame = Frame
 
 
-def to_csv(frame: Frame, path: str | None = None, **options) -> str:
+def to_csv(frame: Frame, path: str | None = None, **options) -> str | None:
     return frame.to_csv(path, **options)
 
 

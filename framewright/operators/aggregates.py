@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.calls import per_group
 from ..functions.cells import FRACTION, finite, is_numeric, sort_text
 
 NAMES = ("count", "sum", "mean", "min", "max")
-Agg = str | Callable[[pd.Series], Any]
+Agg = str | Callable[..., Any]
 
 
 def named(name: str, c: Column, dtype: T.DataType) -> Column:
@@ -31,16 +32,18 @@ def named(name: str, c: Column, dtype: T.DataType) -> Column:
     raise ValueError(f"unknown aggregate: {name}")
 
 
-def aggregate(how: Agg, c: Column, dtype: T.DataType) -> Column:
-    """A named aggregate, or a Python function of a group's values (Arrow batches; the slow path)."""
+def aggregate(how: Agg, c: Column, dtype: T.DataType, rows: dict[str, Column] | None = None) -> Column:
+    """A named aggregate, or a Python function of a group's values, or of its values and `rows` (the slow path)."""
     if isinstance(how, str):
         return named(how, c, dtype)
-    out = T.DoubleType() if is_numeric(dtype) else T.StringType()
+    return per_group(how, c.cast("double") if is_numeric(dtype) else c.cast("string"), rows or {}, T.DoubleType() if is_numeric(dtype) else T.StringType())
 
-    @F.pandas_udf(out)
-    def own(v: pd.Series) -> Any:
-        r = how(v)
-        return None if r is None else float(r) if isinstance(out, T.DoubleType) else str(r)
 
-    own.func.__annotations__ = {"v": pd.Series, "return": float if isinstance(out, T.DoubleType) else str}
-    return own(c.cast("double") if is_numeric(dtype) else c.cast("string"))
+def grouped(sdf: DataFrame, keys: dict[str, Column], native: list[Column], python: list[Column] = ()) -> DataFrame:
+    """sdf aggregated by keys (name -> Column). Spark runs Python aggregates apart from its own: they are joined by key."""
+    by = [c.alias(n) for n, c in keys.items()]
+    if not python or not native:
+        return sdf.groupBy(*by).agg(*native, *python)
+    other = sdf.groupBy(*[c.alias(f"__p.{n}") for n, c in keys.items()]).agg(*python)
+    same = reduce(lambda x, y: x & y, [F.col(f"`{n}`").eqNullSafe(F.col(f"`__p.{n}`")) for n in keys], F.lit(True))
+    return sdf.groupBy(*by).agg(*native).join(other, same).drop(*[f"__p.{n}" for n in keys])

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import inspect
 import json
-import math
+import random
 from collections.abc import Callable, Iterable
+from functools import wraps
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells
-from ..plans.ordering import IDX, ORD, by, linguistic, positions
+from ..functions.calls import RETURNS, arity, per_row
+from ..plans.ordering import IDX, ORD, by, dense, is_steady, linguistic
 from ..session import session
 
 
@@ -37,7 +39,25 @@ def to_cell(v: Any, dtype: T.DataType) -> Any:
     return v
 
 
+def keeps_labels(method: Callable) -> Callable:
+    """For operations whose rows keep their labels. A frame without own labels has its rows' positions for labels; they
+    are counted only where something asks: then the operation runs again on the labelled frame."""
+    signature = inspect.signature(method)
+
+    @wraps(method)
+    def run(self, *args, **kw):
+        out = method(self, *args, **kw)
+        if isinstance(out, Frame) and not self.index and not out.index and not signature.bind(self, *args, **kw).arguments.get("ignore_index"):
+            out._relabel = lambda: method(self._labelled(), *args, **kw)
+        return out
+
+    return run
+
+
 class Frame:
+    _relabel: Callable[[], Frame] | None = None
+    _is_dense = False
+
     def __init__(self, sdf: DataFrame, columns: list[str] | None = None, index: bool = False, order: list[Column] | None = None):
         self.sdf, self.index, self.order = sdf, index, order
         self.columns = list(columns if columns is not None else [c for c in sdf.columns if c not in (ORD, IDX)])
@@ -57,8 +77,9 @@ class Frame:
         if index is not None and len(index) != len(rows):
             raise ValueError("index length must match row count")
         types = [cell_type(r[i] for r in rows) for i in range(len(names))]
+        mixed = [len({cells.value_kind(r[i]) for r in rows if r[i] is not None}) > 1 for i in range(len(names))]
         label = cell_type(index) if index is not None else None
-        schema = T.StructType([T.StructField(c, t) for c, t in zip(names, types, strict=True)] + ([T.StructField(IDX, label)] if label else []) + [T.StructField(ORD, T.LongType())])
+        schema = T.StructType([T.StructField(c, t, metadata={"mixed": True} if m else None) for c, t, m in zip(names, types, mixed, strict=True)] + ([T.StructField(IDX, label)] if label else []) + [T.StructField(ORD, T.LongType())])
         made = [(*[to_cell(v, t) for v, t in zip(r, types, strict=True)], *([to_cell(index[i], label)] if label else []), i) for i, r in enumerate(rows)]
         return cls(spark.createDataFrame(made, schema), names, index is not None, [F.col(ORD)])
 
@@ -96,10 +117,30 @@ class Frame:
         """Order that doesn't hang on visible columns, for operations that change them."""
         return self if self.order is None or self._by_ordinal() else self._ordered()
 
+    def _dense(self) -> Frame:
+        """The same frame, its ordinals its rows' positions 0, 1, ..."""
+        if self._is_dense:
+            return self
+        as_they_lie = self.order is None or self._by_ordinal() and is_steady(self.sdf)
+        sdf = dense(self.sdf.drop(ORD) if self.order is None or as_they_lie else self.sdf, None if as_they_lie else self.order)
+        out = self._new(sdf, self.columns, self.index, [F.col(ORD)])
+        out._is_dense = True
+        return out
+
     def _labelled(self) -> Frame:
-        """With labels; without own ones, dense positions."""
-        o = self._ordered()
-        return o if self.index else o._new(positions(o.sdf, o.order, IDX), self.columns, True, [F.col(ORD)])
+        """With labels and ordinals; labels of frames without own ones are the positions that their rows had when made."""
+        if self.index:
+            return self._ordered()
+        if self._relabel:
+            return self._relabel()._ordered()
+        d = self._dense()
+        out = d._new(d.sdf.withColumn(IDX, F.col(ORD)), self.columns, True, d.order)
+        out._is_dense = True
+        return out
+
+    def _placed(self) -> Frame:
+        """With labels, and positions for ordinals."""
+        return self._labelled()._dense()
 
     def _sorted(self) -> DataFrame:
         return self.sdf if self.order is None else self.sdf.orderBy(*self.order)
@@ -132,6 +173,7 @@ class Frame:
     def labels(self) -> list:
         return [r[0] for r in self._labelled()._sorted().select(IDX).collect()]
 
+    @keeps_labels
     def copy(self) -> Frame:
         return self._new(self.sdf, list(self.columns), self.index, self.order)
 
@@ -139,11 +181,12 @@ class Frame:
         return [list(r) for r in self._sorted().select(*self._all().values()).collect()]
 
     def dtypes(self) -> dict[str, str]:
-        """number, string, boolean or date; unknown where every cell is missing."""
+        """number, string, boolean or date; mixed where cells of several kinds became text; unknown where all are missing."""
         if not self.columns:
             return {}
         some = self.sdf.agg(*[F.count(c).alias(n) for n, c in self._all().items()]).first()
-        return {c: cells.kind(self.dtype(c)) if some[c] else "unknown" for c in self.columns}
+        mixed = {c for c in self.columns if self.sdf.schema[c].metadata.get("mixed")}
+        return {c: ("mixed" if c in mixed else cells.kind(self.dtype(c))) if some[c] else "unknown" for c in self.columns}
 
     def to_records(self) -> list[dict]:
         return [dict(zip(self.columns, r, strict=True)) for r in self.values()]
@@ -159,15 +202,17 @@ class Frame:
         lines = [json.dumps(r, default=str, ensure_ascii=False) for r in shown.to_records()]
         return "\n".join([*lines, *([f"... ({total - max_rows} more rows)"] if total > max_rows else [])])
 
-    def to_csv(self, path: str | None = None, sep: str = ",", header: bool = True, index: bool = False) -> str:
-        from ..sources.text import csv_text
+    def to_csv(self, path: str | None = None, sep: str = ",", header: bool = True, index: bool = False, distributed: bool = False) -> str | None:
+        """One text (and file); distributed: a folder of part files in the frame's order, written by the executors."""
+        from ..sources.text import csv_parts, csv_text
 
-        return csv_text(self, path, sep, header, index)
+        return csv_parts(self, path, sep, header, index) if distributed else csv_text(self, path, sep, header, index)
 
-    def to_json(self, path: str | None = None, orient: str = "records", space: int = 2, lines: bool = False) -> str:
-        from ..sources.text import json_text
+    def to_json(self, path: str | None = None, orient: str = "records", space: int = 2, lines: bool = False, distributed: bool = False) -> str | None:
+        """One text (and file); distributed: a folder of part files, a record a line, written by the executors."""
+        from ..sources.text import json_parts, json_text
 
-        return json_text(self, path, orient, space, lines)
+        return json_parts(self, path, orient, lines) if distributed else json_text(self, path, orient, space, lines)
 
     def to_parquet(self, path: str) -> None:
         from ..sources.files import to_parquet
@@ -181,15 +226,18 @@ class Frame:
 
     # selection
 
+    @keeps_labels
     def select(self, columns: list[str]) -> Frame:
         self._need(columns)
         return self._select({c: F.col(f"`{c}`") for c in columns})
 
+    @keeps_labels
     def drop(self, columns: str | list[str]) -> Frame:
         gone = [columns] if isinstance(columns, str) else list(columns)
         self._need(gone)
         return self._select({c: v for c, v in self._all().items() if c not in gone})
 
+    @keeps_labels
     def rename(self, names: dict[str, str]) -> Frame:
         new = [names.get(c, c) for c in self.columns]
         if len(set(new)) < len(new):
@@ -204,6 +252,7 @@ class Frame:
 
     __getitem__ = get
 
+    @keeps_labels
     def assign(self, values: dict[str, Any]) -> Frame:
         """Scalars and Column expressions; lists by position; Series by label (the first row of a label)."""
         from .series import Series
@@ -218,56 +267,60 @@ class Frame:
                 joined = a.sdf.join(first, F.col(IDX).eqNullSafe(F.col("__k")), "left").drop("__k")
                 f = a._new(joined, [*a.columns, "__v"], a.index, a.order)._select(a._all() | {name: F.col("__v")}, index=self.index)
             elif isinstance(v, (list, tuple)):
-                o = f._ordered()
+                o = f._dense()
                 if len(v) != o.sdf.count():
                     raise ValueError("array length must match row count")
                 t = cell_type(v)
                 given = self.sdf.sparkSession.createDataFrame([(i, to_cell(x, t)) for i, x in enumerate(v)], T.StructType([T.StructField("__pos", T.LongType()), T.StructField("__v", t)]))
-                joined = positions(o.sdf, o.order).join(given, "__pos").drop("__pos")
+                joined = o.sdf.join(given, F.col(ORD) == F.col("__pos")).drop("__pos")
                 f = o._new(joined, [*o.columns, "__v"], o.index, o.order)._select(o._all() | {name: F.col("__v")})
             else:
                 f = f._select(f._all() | {name: F.lit(v)})
         return f
 
+    @keeps_labels
     def set(self, column: str, values: Any) -> Frame:
         return self.assign({column: values})
 
-    def filter(self, how: Column | str | list[bool] | Callable[[dict], bool]) -> Frame:
-        """By Column or SQL text (pushed down), by a mask, or by a Python function of a row (the slow path)."""
+    @keeps_labels
+    def filter(self, how: Column | str | list[bool] | Callable[..., bool]) -> Frame:
+        """By Column or SQL text (pushed down), by a mask, or by a Python function of a row's dict, its label and its
+        position, as many as it wants (the slow path; without label and position no rows are counted)."""
         if isinstance(how, str):
             return self._where(F.expr(how))
         if isinstance(how, Column):
             return self._where(how)
         if callable(how):
-            names = self.columns
-
-            @F.pandas_udf("boolean")
-            def keep(rows: pd.DataFrame) -> pd.Series:
-                return pd.Series([bool(how(dict(zip(names, r, strict=True)))) for r in rows.itertuples(index=False, name=None)], dtype=bool)
-
-            return self._where(keep(F.struct(*self._all().values())))
-        o = self._ordered()
+            names, n = self.columns, arity(how, 3)
+            f = self if n == 1 else self._placed()
+            keep = per_row(lambda row, *more: how(dict(zip(names, row, strict=True)), *more[: n - 1]), list(self._all().values()), [] if n == 1 else [F.col(IDX), F.col(ORD)], T.BooleanType())
+            out = f._where(keep)
+            return out if n == 1 else self._new(out.sdf if self.index else out.sdf.drop(IDX), self.columns, self.index, out.order)
+        o = self._dense()
         if len(how) != o.sdf.count():
             raise ValueError("mask length must match row count")
         mask = self.sdf.sparkSession.createDataFrame([(i,) for i, x in enumerate(how) if x], "__pos bigint")
-        return o._new(positions(o.sdf, o.order).join(mask, "__pos", "left_semi").drop("__pos"), self.columns, self.index, o.order)
+        return o._new(o.sdf.join(mask, F.col(ORD) == F.col("__pos"), "left_semi"), self.columns, self.index, o.order)
 
     query = filter
 
+    @keeps_labels
     def head(self, n: int = 5) -> Frame:
         return self._new(self._sorted().limit(max(0, n)), self.columns, self.index, self.order)
 
+    @keeps_labels
     def tail(self, n: int = 5) -> Frame:
         o = self._ordered()
         return o._new(o.sdf.orderBy(F.col(ORD).desc()).limit(max(0, n)), self.columns, self.index, o.order)
 
+    @keeps_labels
     def iloc(self, at: int | list[int]):
-        o = self._ordered()
+        o = self._dense()
         n = o.sdf.count()
         wanted = [i if i >= 0 else n + i for i in ([at] if isinstance(at, int) else at)]
         wanted = [(k, i) for k, i in enumerate(wanted) if 0 <= i < n]
         chosen = self.sdf.sparkSession.createDataFrame(wanted, "__k bigint, __pos bigint")
-        out = positions(o.sdf, o.order).join(chosen, "__pos").drop("__pos", ORD).withColumnRenamed("__k", ORD)
+        out = o.sdf.join(chosen, F.col(ORD) == F.col("__pos")).drop("__pos", ORD).withColumnRenamed("__k", ORD)
         f = o._new(out, self.columns, self.index, [F.col(ORD)])
         return next(iter(f.to_records()), None) if isinstance(at, int) else f
 
@@ -305,6 +358,7 @@ class Frame:
 
     # missing values and cells
 
+    @keeps_labels
     def dropna(self, subset: list[str] | None = None) -> Frame:
         f = self
         for c in subset or self.columns:
@@ -315,23 +369,28 @@ class Frame:
     def _cells(self, change: Callable[[str, Column, T.DataType], Column]) -> Frame:
         return self._select({n: change(n, c, self.dtype(n)) for n, c in self._all().items()})
 
+    @keeps_labels
     def fillna(self, value: Any) -> Frame:
         return self._cells(lambda n, c, t: cells.fill(c, t, value.get(n) if isinstance(value, dict) else value))
 
+    @keeps_labels
     def astype(self, dtype: str | dict[str, str]) -> Frame:
         if isinstance(dtype, dict):
             self._need(dtype)
         return self._cells(lambda n, c, t: cells.cast(c, t, dtype) if isinstance(dtype, str) else cells.cast(c, t, dtype[n]) if n in dtype else c)
 
+    @keeps_labels
     def isin(self, values: list | dict[str, list]) -> Frame:
         return self._cells(lambda n, c, t: cells.matches(c, t, values.get(n, []) if isinstance(values, dict) else list(values)))
 
+    @keeps_labels
     def clip(self, lower: float | None = None, upper: float | None = None, columns: list[str] | None = None) -> Frame:
         if lower is not None and upper is not None and lower > upper:
             raise ValueError("lower must be <= upper")
         self._need(columns or [])
         return self._cells(lambda n, c, t: cells.clip(c, t, lower, upper) if columns is None or n in columns else c)
 
+    @keeps_labels
     def replace(self, to_replace: Any, value: Any = ...) -> Frame:
         """A scalar, a list, or a map from text cells to replacements."""
         if isinstance(to_replace, dict):
@@ -342,54 +401,51 @@ class Frame:
             pairs = [(list(to_replace) if isinstance(to_replace, (list, tuple)) else [to_replace], value)]
         return self._cells(lambda n, c, t: cells.replace(c, t, pairs))
 
-    def applymap(self, fn: Callable) -> Frame:
-        """fn maps a Column to a Column for each column; a function of plain values runs as a pandas UDF."""
-
-        def change(n: str, c: Column, t: T.DataType) -> Column:
-            try:
-                out = fn(c)
-                if isinstance(out, Column):
-                    return out
-            except Exception:  # noqa: BLE001  fn is for plain values
-                pass
-            made = T.StringType() if cells.kind(t) == "string" else T.DoubleType() if cells.is_numeric(t) else t
-
-            @F.pandas_udf(made)
-            def each(v: pd.Series) -> pd.Series:
-                return pd.Series([fn(None if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)) else x) for x in v])
-
-            return each(c)
-
-        return self._cells(change)
+    @keeps_labels
+    def applymap(self, fn: Callable, returns: str | None = None, columnar: bool = False) -> Frame:
+        """fn of a cell, its column's name, its row's label and position, as many as it wants, on Arrow batches; cells keep
+        their type where `returns` names no other. columnar: fn maps a Column to a Column instead."""
+        if columnar:
+            return self._cells(lambda n, c, t: fn(c))
+        n = arity(fn, 4)
+        f = self if n < 3 else self._placed()
+        made = lambda t: RETURNS[returns] if returns else T.DoubleType() if cells.is_numeric(t) else t
+        one = lambda name: lambda row, *more: fn(*[row[0], name, *more][:n])
+        out = f._cells(lambda name, c, t: per_row(one(name), [c], [] if n < 3 else [F.col(IDX), F.col(ORD)], made(t)))
+        return out if n < 3 else self._new(out.sdf if self.index else out.sdf.drop(IDX), self.columns, self.index, out.order)
 
     map = applymap
 
-    def apply(self, fn: Callable | str, axis: int | str = 0):
-        """axis 0: an aggregate (name or function of a column's values) per column, as a Series by column. axis 1: a
-        Column of the frame's columns, or a Python function of a row's dict, as a Series by row."""
+    def apply(self, fn: Callable | str, axis: int | str = 0, returns: str | None = None, columnar: bool = False):
+        """axis 0: an aggregate per column (a name, or a function of its values, name and place), as a Series by column.
+        axis 1: a Python function of a row's dict, its label and position, as a Series by row; columnar: fn maps the
+        dict of Columns to a Column instead."""
         from .aggregates import aggregate
         from .series import Series
 
         if axis in (1, "columns"):
             names = self.columns
-            try:
-                out = fn(self._all())
-            except Exception:  # noqa: BLE001  fn is for plain rows
-                out = None
-            if not isinstance(out, Column):
-                numeric = any(cells.is_numeric(self.dtype(c)) for c in names)
-
-                @F.pandas_udf(T.DoubleType() if numeric else T.StringType())
-                def each(rows: pd.DataFrame) -> pd.Series:
-                    return pd.Series([fn(dict(zip(names, r, strict=True))) for r in rows.itertuples(index=False, name=None)])
-
-                out = each(F.struct(*self._all().values()))
-            return Series(self._select({"value": out}), None)
-        row = self.sdf.agg(*[aggregate(fn, c, self.dtype(n)).alias(n) for n, c in self._all().items()]).first()
-        return Series.create([row[c] for c in self.columns], index=self.columns, spark=self.sdf.sparkSession)
+            if columnar:
+                return Series(self._select({"value": fn(self._all())}), "apply")
+            n = arity(fn, 3)
+            f = self if n == 1 else self._placed()
+            numeric = any(cells.is_numeric(self.dtype(c)) for c in names)
+            made = RETURNS[returns] if returns else T.DoubleType() if numeric else T.StringType()
+            value = per_row(lambda row, *more: fn(dict(zip(names, row, strict=True)), *more[: n - 1]), list(self._all().values()), [] if n == 1 else [F.col(IDX), F.col(ORD)], made)
+            out = f._select({"value": value})
+            if not self.index:
+                out._relabel = lambda: self._labelled()._select({"value": value}) if n == 1 else f._select({"value": value})
+            return Series(out, "apply")
+        if axis not in (0, "index"):
+            raise ValueError("axis must be 0, 'index', 1 or 'columns'")
+        n = 1 if isinstance(fn, str) else arity(fn, 3)
+        of = lambda place, name: fn if isinstance(fn, str) else lambda v: fn(*[v, name, place][:n])
+        row = self.sdf.agg(*[aggregate(of(i, name), c, self.dtype(name)).alias(name) for i, (name, c) in enumerate(self._all().items())]).first()
+        return Series.create([row[c] for c in self.columns], index=self.columns, name="apply", spark=self.sdf.sparkSession)
 
     # order
 
+    @keeps_labels
     def sort_values(self, keys: str | list[str], ascending: bool | list[bool] = True, limit: int | None = None, na_position: str = "last") -> Frame:
         """Stable sort by binary order; na_position holds in both directions; with limit, the first rows only."""
         names = [keys] if isinstance(keys, str) else list(keys)
@@ -409,18 +465,23 @@ class Frame:
         o = self._labelled()
         return o._new(o.sdf, self.columns, True, [linguistic(F.col(IDX), o.sdf.schema[IDX].dataType, ascending), F.col(ORD)])
 
+    @keeps_labels
     def drop_duplicates(self, subset: str | list[str] | None = None, keep: str | bool = "first", ignore_index: bool = False) -> Frame:
-        """Null equals null. Rows of a key are found by an aggregate with map-side combine, then joined by ordinal, so
-        that a frequent key isn't one task's."""
+        """Null equals null. One aggregate by key takes the whole row of the least (greatest) ordinal, with map-side
+        combine, so a frequent key isn't one task's, and no row is looked up by a number that a retry could change."""
         cols = [subset] if isinstance(subset, str) else list(subset or self.columns)
         self._need(cols)
         if keep not in ("first", "last", False):
             raise ValueError("keep must be 'first', 'last' or False")
         o = self._ordered()
-        picked = (F.max if keep == "last" else F.min)(ORD).alias(ORD)
-        chosen = o.sdf.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(picked, F.count(F.lit(1)).alias("__n"))
-        chosen = (chosen.where("__n = 1") if keep is False else chosen).select(ORD)
-        return o._new(o.sdf.join(chosen, ORD, "left_semi"), self.columns, self.index and not ignore_index, o.order)
+        rest = [c for c in o.sdf.columns if c not in cols and c != ORD]
+        picked = (F.max if keep == "last" else F.min)(ORD).alias("__at")
+        row = (F.max_by if keep == "last" else F.min_by)(F.struct(*[F.col(f"`{c}`") for c in rest]), ORD).alias("__row") if rest else None
+        n = [F.count(F.lit(1)).alias("__n")] if keep is False else []
+        found = o.sdf.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(picked, *([row] if rest else []), *n)
+        found = found.where("__n = 1") if n else found
+        out = found.select(*[F.col("__row")[c].alias(c) if c in rest else F.col(f"`{c}`") for c in o.sdf.columns if c != ORD], F.col("__at").alias(ORD))
+        return o._new(out, self.columns, self.index and not ignore_index, o.order)
 
     # delegates
 
@@ -468,12 +529,18 @@ class Frame:
 
         return merge(self, right, on, how, suffixes)
 
+    @keeps_labels
     def rank(self, **options: Any) -> Frame:
         from .ranks import rank
 
         return rank(self, **options)
 
-    def sample(self, n: int = 1, **options: Any) -> Frame:
+    def sample(self, n: int = 1, frac: float | None = None, replace: bool = False, random_state: int | None = None, ignore_index: bool = False) -> Frame:
+        seed = random.SystemRandom().randrange(2**32) if random_state is None else random_state
+        return self._sampled(n, frac, replace, seed, ignore_index)
+
+    @keeps_labels
+    def _sampled(self, n: int, frac: float | None, replace: bool, seed: int, ignore_index: bool) -> Frame:
         from .ranks import sample
 
-        return sample(self, n, **options)
+        return sample(self, n, frac, replace, seed, ignore_index)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import finite, is_numeric, text_of
 from ..plans.ordering import IDX, ORD, linguistic
-from .aggregates import Agg, aggregate
+from .aggregates import Agg, aggregate, grouped
 
 if TYPE_CHECKING:
     from .frame import Frame
@@ -24,27 +24,32 @@ class GroupBy:
             raise ValueError("as_index supports a single key")
         self.frame, self.dropna, self.sort, self.as_index = frame, dropna, sort, as_index
 
-    def _run(self, outputs: dict) -> Frame:
+    def _run(self, outputs: dict, python: tuple[str, ...] = ()) -> Frame:
+        """Keys, then outputs; an output that is named like a key stands in its place, and the order stays the key's."""
         f = self.frame
         sdf = f.sdf if self.sort else f._ordered().sdf
         if self.dropna:
             for k in self.keys:
                 sdf = sdf.where(F.col(f"`{k}`").isNotNull())
         first = [] if self.sort else [F.min(ORD).alias(ORD)]
-        cols = [c.alias(n) for n, c in outputs.items()]
-        grouped = sdf.groupBy(*[F.col(f"`{k}`") for k in self.keys])
-        out = grouped.agg(*cols, *first) if cols or first else sdf.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
-        order = [linguistic(F.col(f"`{k}`"), f.dtype(k)) for k in self.keys] if self.sort else [F.col(ORD)]
-        names = [*self.keys, *outputs]
+        hidden = {k: f"__k{i}" if k in outputs else k for i, k in enumerate(self.keys)}
+        keys = {hidden[k]: F.col(f"`{k}`") for k in self.keys}
+        native, own = ([c.alias(n) for n, c in outputs.items() if (n in python) is own] for own in (False, True))
+        out = grouped(sdf, keys, [*native, *first], own) if outputs or first else sdf.select(*[c.alias(n) for n, c in keys.items()]).distinct()
+        order = [linguistic(F.col(f"`{hidden[k]}`"), f.dtype(k)) for k in self.keys] if self.sort else [F.col(ORD)]
+        names = [*self.keys, *[n for n in outputs if n not in self.keys]]
         if not self.as_index:
             return f._new(out, names, order=order)
         k = self.keys[0]
-        label = F.col(f"`{k}`") if is_numeric(f.dtype(k)) else text_of(F.col(f"`{k}`"), f.dtype(k))
-        return f._new(out.withColumn(IDX, label), names[1:], index=True, order=order)
+        label = F.col(f"`{hidden[k]}`") if is_numeric(f.dtype(k)) else text_of(F.col(f"`{hidden[k]}`"), f.dtype(k))
+        return f._new(out.withColumn(IDX, label), names if k in outputs else names[1:], index=True, order=order)
 
     def agg(self, spec: dict[str, Agg]) -> Frame:
+        """One aggregate a column: a name, or a Python function of the group's values, or of its values and its rows."""
         self.frame._need(spec)
-        return self._run({c: aggregate(how, F.col(f"`{c}`"), self.frame.dtype(c)) for c, how in spec.items() if c not in self.keys})
+        cells = self.frame._all()
+        outputs = {c: aggregate(how, F.col(f"`{c}`"), self.frame.dtype(c), cells) for c, how in spec.items()}
+        return self._run(outputs, tuple(c for c, how in spec.items() if callable(how)))
 
     def _rest(self, cols: list[str] | None) -> list[str]:
         return list(cols) if cols is not None else [c for c in self.frame.columns if c not in self.keys]

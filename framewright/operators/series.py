@@ -8,8 +8,9 @@ from typing import Any
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calls import arity
 from ..functions.cells import text_of
-from ..plans.ordering import ORD
+from ..plans.ordering import IDX, ORD
 from .frame import Frame
 
 
@@ -55,15 +56,23 @@ class Series:
     def tail(self, n: int = 5) -> Series:
         return self._of(self.frame.tail(n))
 
-    def map(self, fn: Callable, name: str | None = ...) -> Series:
-        return self._of(self.frame.applymap(fn), name)
+    def map(self, fn: Callable, name: str | None = ..., returns: str | None = None, columnar: bool = False) -> Series:
+        """fn of a value, its label and its position, as many as it wants; columnar: of the Column."""
+        if columnar:
+            return self._of(self.frame.applymap(fn, columnar=True), name)
+        n = arity(fn, 3)
+        # applymap offers the column's name after the value
+        own = {1: lambda v: fn(v), 2: lambda v, _, label, place: fn(v, label), 3: lambda v, _, label, place: fn(v, label, place)}[n]
+        return self._of(self.frame.applymap(own, returns), name)
 
     apply = map
 
     def filter(self, how: Callable | Column | str) -> Series:
+        """By Column or SQL text, or by a Python function of a value, its label and its position."""
         if callable(how) and not isinstance(how, Column):
-            own, column = how, self.frame.columns[0]
-            return self._of(self.frame.filter(lambda row: own(row[column])))
+            own, column, n = how, self.frame.columns[0], arity(how, 3)
+            test = {1: lambda row: own(row[column]), 2: lambda row, label: own(row[column], label), 3: lambda row, label, place: own(row[column], label, place)}[n]
+            return self._of(self.frame.filter(test))
         return self._of(self.frame.filter(how))
 
     def fillna(self, value: Any) -> Series:
@@ -99,8 +108,6 @@ class Series:
         counted = sdf.groupBy(self._c.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("o"))
         label = F.coalesce(text_of(F.col("v"), f.dtype(f.columns[0])), F.lit("null"))
         name = f"{self.name}_counts" if self.name else "counts"
-        from ..plans.ordering import IDX
-
         out = counted.select(F.col("n").alias(name), label.alias(IDX), "o")
         return Series(f._new(out, [name], True, [F.col(name).desc(), F.col("o")]), name)
 

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cells import kind, text_of
 from ..operators.frame import Frame
 from ..plans.ordering import IDX, ORD
 from ..session import session
 
 #: Texts that count as missing, in any case.
 NA = ("", "NaN", "NA", "null", "None")
+QUOTED = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "nullValue": "\0"}
 NUMBER = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
 
 
@@ -45,28 +47,39 @@ def typed(sdf: DataFrame, columns: list[str], na_values: list[str] | None) -> Da
     return sdf.select(*[as_typed(i, v).alias(c) for i, (c, v) in enumerate(cell.items())], *[c for c in sdf.columns if c not in columns])
 
 
-def read_csv(path: str, sep: str = ",", header: bool = True, names: list[str] | None = None, index_col: str | int | None = None, na_values: list[str] | None = None, multiline: bool = True, spark: SparkSession | None = None) -> Frame:
-    """Files as text columns, then one type per column. Rows longer than the header add columns `col_N`. multiline
-    (a quoted cell may hold line ends) keeps a file in one task; set it to False where no cell does."""
+def shape_of(path: str, sep: str, spark: SparkSession) -> tuple[int, bool]:
+    """How many cells the longest row has, and whether a quoted cell holds line ends (an odd number of quotes on a line).
+    Separators within quotes don't count. Only where such cells exist, rows are read as a whole: Spark's parser reports
+    them as they stand in the file when they don't fit a schema."""
+    cells = lambda c: F.size(F.split(F.regexp_replace(c, r'"(?:[^"]|"")*+"?', ""), _literal(sep), -1))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    lines = spark.read.text(path).agg(F.max(cells(F.col("value"))), F.bool_or(quotes % 2 == 1)).first()
+    if not lines[1]:
+        return lines[0] or 0, False
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_c0", "_whole")])
+    whole = spark.read.csv(path, schema=schema, multiLine=True, columnNameOfCorruptRecord="_whole", mode="PERMISSIVE", sep=sep, **QUOTED)
+    return max(1, whole.where("_c0 is not null or _whole is not null").agg(F.max(F.coalesce(cells(F.col("_whole")), F.lit(1)))).first()[0] or 0), True
+
+
+def read_csv(path: str, sep: str = ",", header: bool = True, names: list[str] | None = None, index_col: str | int | None = None, na_values: list[str] | None = None, multiline: bool | None = None, spark: SparkSession | None = None) -> Frame:
+    """Files as text columns, then one type per column. Rows longer than the header add columns `col_N`. Large files are
+    split among tasks unless a quoted cell holds line ends (multiline, found out where it is None)."""
     spark = spark or session()
-    lines = spark.read.text(path)
-    width = lines.select(F.max(F.size(F.split("value", _literal(sep), -1)))).first()[0] or 0
+    width, found = shape_of(path, sep, spark)
     wide = [f"_c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in wide])
-    sdf = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', multiLine=multiline, header=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue="\0")
+    sdf = spark.read.csv(path, schema=schema, sep=sep, multiLine=found if multiline is None else multiline, header=False, mode="PERMISSIVE", **QUOTED)
     sdf = sdf.withColumn(ORD, F.monotonically_increasing_id())
     sdf = sdf.where(F.greatest(F.lit(0), *[F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in wide]) > 0) if wide else sdf
     first = sdf.orderBy(ORD).limit(1).collect()
     head = [v for v in first[0][: len(wide)]] if first else []
+    while head and head[-1] is None:
+        head.pop()
     if header and first:
         sdf = sdf.where(F.col(ORD) != first[0][ORD])
-        while head and head[-1] is None:
-            head.pop()
-    own = list(names or ([(h or "").lstrip("﻿").strip() or f"col_{i}" for i, h in enumerate(head)] if header else [f"col_{i}" for i in range(len(head))]))
-    used = sdf.agg(F.max(F.lit(0)).alias("z"), *[F.count(c).alias(c) for c in wide[len(own) :]]).first() if len(wide) > len(own) else {}
-    extra = [c for c in wide[len(own) :] if used[c]]
-    columns = [*own, *[f"col_{int(c[2:])}" for c in extra]]
-    out = sdf.select(*[(F.col(c) if c in wide else F.lit(None).cast("string")).alias(n) for c, n in zip([*[f"_c{i}" for i in range(len(own))], *extra], columns, strict=True)], ORD)
+    own = list(names or ([(h or "").lstrip("\ufeff").strip() or f"col_{i}" for i, h in enumerate(head)] if header else [f"col_{i}" for i in range(len(head))]))
+    columns = own + [f"col_{i}" for i in range(len(own), width)]
+    out = sdf.select(*[(F.col(f"_c{i}") if i < width else F.lit(None).cast("string")).alias(n) for i, n in enumerate(columns)], ORD)
     return with_index(Frame(typed(out, columns, na_values), columns, False, [F.col(ORD)]), index_col)
 
 
@@ -102,23 +115,52 @@ read_table_sync = read_tsv = read_tsv_sync = read_table
 parse_tsv = parse_table
 
 
-def flat(f: Frame) -> Frame:
-    """Nested cells as JSON text."""
-    nested = (T.StructType, T.ArrayType, T.MapType)
-    return f._cells(lambda n, c, t: F.to_json(c) if isinstance(t, nested) else c.cast("double") if isinstance(t, T.LongType) else c)
+NESTED = (T.StructType, T.ArrayType, T.MapType)
+
+
+def flat(f: Frame, numbers: bool = False) -> Frame:
+    """Nested cells as JSON text; whole numbers as doubles where `numbers` (JSON has one kind of number)."""
+    cell = lambda n, c, t: F.to_json(c, {"ignoreNullFields": "false"}) if isinstance(t, NESTED) else c.cast("double") if numbers and isinstance(t, T.LongType) else c
+    return f._cells(cell)
+
+
+def first_seen(keys: DataFrame) -> list[str]:
+    """Names by first place, from rows (a: array of names, at: the row's number); as many as there are columns."""
+    seen = keys.select("at", F.posexplode("a").alias("i", "k")).groupBy("k").agg(F.min(F.struct("at", "i")).alias("first"))
+    return [r["k"] for r in seen.orderBy("first").select("k").collect()]
 
 
 def read_json(path: str, orient: str | None = None, lines: bool = False, index_col: str | int | None = None, spark: SparkSession | None = None) -> Frame:
-    """An array of records, an object of column lists, or (lines) one record a line."""
+    """An array of records, an object of column lists, or (lines) one record a line; columns in first-seen order. Files
+    are parsed by the executors: by the line, or whole where the format can't be split."""
     if lines and orient == "list":
         raise ValueError("lines needs orient 'records'")
     spark = spark or session()
     if lines:
-        sdf = spark.read.json(path).withColumn(ORD, F.monotonically_increasing_id())
-        f = Frame(sdf, None, False, [F.col(ORD)])
-        return with_index(flat(f), index_col)
-    text = spark.read.text(path, wholetext=True).first()
-    return parse_json(text[0] if text else "[]", orient, False, index_col, spark)
+        texts = spark.read.text(path).where(F.trim("value") != "")
+        names = first_seen(texts.select(F.json_object_keys("value").alias("a"), F.monotonically_increasing_id().alias("at")))
+        sdf = spark.read.json(path)
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("value"), F.monotonically_increasing_id().alias("at"))
+        starts = {r[0] for r in whole.select(F.substring("value", 1, 1)).distinct().limit(3).collect()}
+        shape = "list" if starts == {"{"} else "records" if starts == {"["} else None
+        if shape is None or orient not in (None, shape):
+            raise ValueError("JSON does not have the shape of its orient")
+        sdf = spark.read.json(path, multiLine=True)
+        if shape == "records":
+            records = whole.select("at", F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("i", "m"))
+            names = first_seen(records.select(F.map_keys("m").alias("a"), F.struct("at", "i").alias("at")))
+        else:
+            names = first_seen(whole.select(F.json_object_keys("value").alias("a"), "at"))
+            if any(not isinstance(sdf.schema[c].dataType, T.ArrayType) for c in names):
+                raise ValueError("JSON columns must be arrays")
+            sdf = sdf.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in names])).alias(*names)) if names else sdf
+    if "_corrupt_record" in sdf.columns and "_corrupt_record" not in names:
+        raise ValueError("JSON must hold records or column lists")
+    if not names:
+        return Frame.create([], spark=spark)
+    sdf = sdf.select(*[F.col(f"`{c}`") for c in names]).withColumn(ORD, F.monotonically_increasing_id())
+    return with_index(flat(Frame(sdf, names, False, [F.col(ORD)]), numbers=True), index_col)
 
 
 def parse_json(text: str, orient: str | None = None, lines: bool = False, index_col: str | int | None = None, spark: SparkSession | None = None) -> Frame:
@@ -148,7 +190,7 @@ def _text(v: Any) -> str:
 
 
 def csv_text(f: Frame, path: str | None, sep: str, header: bool, index: bool) -> str:
-    """One text, written from sorted rows as they arrive; for large frames use f.sdf.write.csv."""
+    """One text, from sorted rows as they arrive; csv_parts writes large frames."""
 
     def cell(v: Any) -> str:
         t = _text(v)
@@ -165,6 +207,23 @@ def csv_text(f: Frame, path: str | None, sep: str, header: bool, index: bool) ->
     return text
 
 
+def csv_parts(f: Frame, path: str, sep: str, header: bool, index: bool) -> None:
+    """Part files in path, each with its header, written in the frame's order: cells as in csv_text."""
+    g = f._labelled() if index else f
+    cols = {**({"index": IDX} if index else {}), **{c: c for c in f.columns}}
+    types = g.sdf.schema
+    cells = [text_of(F.col(f"`{c}`"), types[c].dataType).alias(n) for n, c in cols.items()]
+    g._sorted().select(*cells).write.csv(path, sep=sep, header=header, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def json_parts(f: Frame, path: str, orient: str, lines: bool) -> None:
+    """Part files in path, in the frame's order, a record a line; nulls are written."""
+    if orient != "records" or not lines:
+        raise ValueError("distributed JSON needs lines")
+    cells = [(text_of(c, f.dtype(n)) if kind(f.dtype(n)) == "date" else c).alias(n) for n, c in f._all().items()]
+    f._sorted().select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 def json_text(f: Frame, path: str | None, orient: str, space: int, lines: bool) -> str:
     if lines and orient != "records":
         raise ValueError("lines needs orient 'records'")

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,12 +58,26 @@ def test_merge_and_concat(spark):
 
 
 def test_pivot(spark):
-    f = Frame.create([{"team": "A", "q": "Q1", "s": 10}, {"team": "A", "q": "Q2", "s": 20}, {"team": "B", "q": "Q1", "s": 5}])
-    p = f.pivot_table("team", "s", columns="q", aggfunc="sum", fill_value=0, margins=True)
-    assert p.to_records() == [{"team": "A", "Q1": 10, "Q2": 20, "All": 30}, {"team": "B", "Q1": 5, "Q2": 0, "All": 5}, {"team": "All", "Q1": 15, "Q2": 20, "All": 35}]
-    n = Frame.create([{"team": "A", "q": None, "s": 1}, {"team": "A", "q": "Q1", "s": 2}]).pivot_table("team", "s", columns="q", aggfunc="sum", dropna=False)
-    assert n.columns == ["team", "Q1", "null"] and n.to_records() == [{"team": "A", "Q1": 2, "null": 1}]
-    assert f.pivot_table("team", "s", margins=True, aggfunc="sum").to_records()[-1] == {"team": "All", "s": 35}
+    """Against counts in plain Python, over a seeded table."""
+    rng = random.Random(12)
+    rows = [{"k": rng.choice("vwz"), "h": rng.choice(["n", "o", None]), "s": rng.randrange(1, 9)} for _ in range(40)] + [{"k": "y", "h": "n", "s": 4}]
+    f, sums = Frame.create(rows), Counter()
+    for r in rows:
+        if r["h"]:
+            for key in ((r["k"], r["h"]), (r["k"], "All"), ("All", r["h"]), ("All", "All")):
+                sums[key] += r["s"]
+    p = f.pivot_table("k", "s", columns="h", aggfunc="sum", fill_value=0, margins=True)
+    assert p.columns == ["k", "n", "o", "All"] and p.to_records() == [{"k": k, **{h: sums[k, h] for h in ("n", "o", "All")}} for k in ("v", "w", "y", "z", "All")]
+    nulls = f.pivot_table("k", "s", columns="h", aggfunc="sum", dropna=False)
+    assert nulls.columns == ["k", "n", "o", "null"]
+    assert f.pivot_table("k", "s", margins=True, aggfunc="sum").to_records()[-1] == {"k": "All", "s": sum(r["s"] for r in rows)}
+    spread = f.pivot_table("k", "s", columns="h", aggfunc=lambda v: v.max() - v.min(), margins=True)
+    own = [r["s"] for r in rows if r["h"]]
+    assert spread.to_records()[-1]["All"] == max(own) - min(own)
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    with pytest.raises(ValueError):
+        f.pivot_table("h", "k", columns="s", aggfunc="count")
+    spark.conf.unset("spark.sql.pivotMaxValues")
 
 
 def test_cells(spark):
@@ -79,20 +96,92 @@ def test_cells(spark):
     assert f.filter([True, False, True]).shape == (2, 2) and f.filter(lambda r: r["city"] == "b").shape == (1, 2) and f.query("v > 5").shape == (1, 2)
 
 
-def test_rank_and_sample(spark):
-    f = Frame.create({"a": [10, 20, 20, 30], "b": [1, None, 2, 2]})
-    assert f.rank().get("a").to_list() == [1, 2.5, 2.5, 4] and f.rank(method="dense").get("a").to_list() == [1, 2, 2, 3]
-    assert f.rank(na_option="top").get("b").to_list() == [2, 1, 3.5, 3.5] and f.rank(method="first").get("a").to_list() == [1, 2, 3, 4]
-    x, y = f.sample(2, random_state=7), f.sample(2, random_state=7)
-    assert x.values() == y.values() and f.sample(frac=0.5, random_state=1).shape == (2, 2)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rank(spark, seed):
+    """Every method and option against a count in plain Python."""
+    rng = random.Random(seed)
+    values = [rng.choice([None, 1.5, 2, 7, 7.25, -3]) for _ in range(23)]
+    f, real = Frame.create({"x": values}), [v for v in values if v is not None]
+
+    def expected(v, at, method, up, na):
+        if v is None:
+            return {"keep": None, "top": 1.0, "bottom": len(real) + 1.0}[na]
+        less = sum((w < v) if up else (w > v) for w in real)
+        same = real.count(v)
+        own = {"min": less + 1, "max": less + same, "average": less + (same + 1) / 2, "dense": len({w for w in real if (w < v if up else w > v)}) + 1, "first": less + values[: at + 1].count(v)}[method]
+        return float(own + (len(values) - len(real) if na == "top" else 0))
+
+    for method, up, na in (("average", True, "keep"), ("min", False, "top"), ("max", True, "bottom"), ("dense", False, "keep"), ("first", True, "top"), ("first", False, "keep")):
+        assert f.rank(method=method, ascending=up, na_option=na).get("x").to_list() == [expected(v, i, method, up, na) for i, v in enumerate(values)]
+    share = f.rank(pct=True).get("x").to_list()
+    assert share == [None if v is None else pytest.approx(expected(v, i, "average", True, "keep") / len(real)) for i, v in enumerate(values)]
+
+
+def test_sample_and_describe(spark):
+    f = Frame.create({"a": list(range(40)), "b": [i * i for i in range(40)]})
+    x, y = f.sample(9, random_state=7), f.sample(9, random_state=7)
+    assert x.values() == y.values() and f.sample(frac=0.25, random_state=1).shape == (10, 2) and x.labels() == [r[0] for r in x.values()]
+    assert len({r[0] for r in x.values()}) == 9 and f.sample(60, replace=True, random_state=3).shape == (60, 2)
     with pytest.raises(ValueError):
-        f.sample(9)
+        f.sample(41)
     assert [r["stat"] for r in f.describe().to_records()] == ["count", "mean", "std", "min", "max"]
 
 
+def test_labels_stay(spark):
+    """Labels of frames without own ones are first positions, through any chain of operations that keeps rows."""
+    f = Frame.create({"v": [5, 9, 1, 7, 1, 3], "t": list("abcabc")})
+    assert f.filter("v > 2").labels() == [0, 1, 3, 5] and f.sort_values("v").labels() == [2, 4, 5, 0, 3, 1]
+    assert f.sort_values("v").filter(F.col("t") != "c").head(3).labels() == [4, 0, 3]
+    assert f.filter("v > 2").loc(3) == {"v": 7, "t": "a"} and f.filter("v > 2").at(2, "v") is None
+    assert f.drop_duplicates("t", keep="last").labels() == [3, 4, 5] and f.drop_duplicates("t", keep="last", ignore_index=True).labels() == [0, 1, 2]
+    assert f.tail(2).reset_index().get("index").to_list() == [4, 5] and f.iloc([3, 0]).labels() == [3, 0]
+    assert fw.concat([f.head(2), f.tail(1)]).labels() == [0, 1, 5] and fw.concat([f.head(2), f.tail(1)], ignore_index=True).labels() == [0, 1, 2]
+    assert fw.concat([f.set_index("v").head(2), f.head(1)]).labels() == [5, 9, 0] and fw.concat([]).shape == (0, 0)
+    g = fw.concat([f.head(2).set_index("t", drop=False), f.head(1).set_index("t", drop=False)], axis=1)
+    assert g.labels() == ["a", "b"] and g.columns == ["v", "t", "v_1", "t_1"] and g.to_records()[1]["v_1"] is None
+
+
+def test_callbacks(spark):
+    """Functions get as many of their arguments as they want; errors in them aren't hidden."""
+    f = Frame.create({"v": [4, 8, 6], "t": ["p", None, "q"]}, index=[30, 10, 20])
+    assert f.filter(lambda row, label: label < 25).labels() == [10, 20] and f.query(lambda row, label, at: at != 1).labels() == [30, 20]
+    assert f.applymap(lambda v, name: f"{name}={v}", returns="string").values()[1] == ["v=8.0", "t=None"]
+    assert f.applymap(lambda v, name, label, at: label + at, returns="number").get("t").to_list() == [30, 11, 22]
+    assert f.apply(lambda row, label, at: row["v"] + label + at, axis=1).to_dict() == {30: 34, 10: 19, 20: 28}
+    assert f.select(["v"]).apply(lambda v, name, at: v.count() + at + len(name)).to_dict() == {"v": 4}
+    s = f.get("v")
+    assert s.map(lambda v, label: v * label).to_dict() == {30: 120, 10: 80, 20: 120} and s.filter(lambda v, label, at: at == 2).to_dict() == {20: 6}
+    assert s.map(abs).to_list() == [4, 8, 6] and s.map(lambda c: c + 1, columnar=True).to_list() == [5, 9, 7]
+    assert f.groupby("t", dropna=False, sort=False).agg({"v": lambda v, rows: len(rows.columns) + v.sum(), "t": "count"}).to_records() == [{"t": 1, "v": 6}, {"t": 0, "v": 10}, {"t": 1, "v": 8}]
+    with pytest.raises(Exception, match="boom"):
+        f.applymap(lambda v: (_ for _ in ()).throw(RuntimeError("boom"))).values()
+    assert Frame.create({"m": [1, "x"], "n": [1, None], "o": [None, None]}).dtypes() == {"m": "mixed", "n": "number", "o": "unknown"}
+
+
+def test_dense_positions(spark):
+    """Dense in any order, over several partitions, and rows that a filter left."""
+    sdf = spark.range(0, 1000, 1, 7).select(F.col("id"), F.pmod(F.col("id") * 37, F.lit(101)).alias("k"))
+    f = Frame(sdf).filter("id % 3 = 0")
+    assert [r["__ord"] for r in f._dense().sdf.orderBy("id").collect()] == list(range(334))
+    g = f.sort_values(["k", "id"])
+    want = sorted(((i * 37) % 101, i) for i in range(0, 1000, 3))
+    assert [r["id"] for r in g._dense().sdf.orderBy("__ord").collect()] == [i for _, i in want] and g.iloc([5, -1]).get("id").to_list() == [want[5][1], want[-1][1]]
+
+
 def test_sources(spark, tmp_path):
     f = fw.parse_csv("﻿id,city,t,ok\n1,Rome,2.5,true\n2,NA,,FALSE\n", index_col="id")
     assert f.labels() == [1, 2] and f.to_records() == [{"city": "Rome", "t": 2.5, "ok": True}, {"city": None, "t": None, "ok": False}]
+    w = tmp_path / "w.csv"
+    w.write_text('a,b,c\n1,"x\ny, z",2,3\n4,5\n')
+    assert fw.read_csv(str(w)).to_records() == [{"a": 1, "b": "x\ny, z", "c": 2, "col_3": 3}, {"a": 4, "b": "5", "c": None, "col_3": None}] and fw.parse_csv(w.read_text()).to_records() == fw.read_csv(str(w)).to_records()
+    j = tmp_path / "j.json"
+    for text, lines in (('[{"z": 1, "a": {"k": null}}, {"b": "t"}]', False), ('{"z": 1, "a": {"k": null}}\n\n{"b": "t"}\n', True)):
+        j.write_text(text)
+        assert fw.read_json(str(j), lines=lines).to_records() == [{"z": 1, "a": '{"k":null}', "b": None}, {"z": None, "a": None, "b": "t"}]
+    j.write_text('{"z": [1, 2], "a": ["x"]}')
+    assert fw.read_json(str(j)).to_records() == [{"z": 1, "a": "x"}, {"z": 2, "a": None}]
+    with pytest.raises(ValueError):
+        fw.read_json(str(j), orient="records")
     p = tmp_path / "a.csv"
     p.write_text('a,b\n1,"x, y"\n2,"l1\nl2"\n3,z,extra\n')
     g = fw.read_csv(str(p))

@@ -1,4 +1,4 @@
-"""The registered queries against their SQL, at the smallest scale."""
+"""Every registered query of the engine against its SQL, at the smallest scale."""
 
 import os
 
@@ -14,16 +14,21 @@ def plain(v):
     return None if v is None else str(v) if isinstance(v, bool) else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
 
 
-@pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
-@pytest.mark.parametrize("name", ["flagship", "merge_outer", "merge_null_keys", "pivot_margins", "rank_pct", "rank_na_top", "value_counts_2col_limit", "drop_duplicates_none", "sort_na_first", "concat_columns"])
-def test_query(spark, name):
+@pytest.fixture(scope="module")
+def tables():
     import duckdb
 
     c = duckdb.connect()
     for t in TABLES:
         c.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, tables, name):
     got = catalog.QUERIES[name](spark, D)
-    want = c.sql(catalog.ORACLE[name])
+    want = tables.sql(catalog.ORACLE[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     rows = want.fetchall()
