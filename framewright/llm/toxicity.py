@@ -1,18 +1,25 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 The kernel of two strings sums, over all common subsequences of ORDER characters, DECAY to the power of
-the lengths they span in either string; so gaps and inserted characters weaken a match and do not end it. Units
-are windows of up to WINDOW characters of words as spaced in the text (with their inner punctuation) and of runs
-of single characters ("i d i o t"). Telling landmarks are character n-grams that best tell the labels of training
-documents apart, chosen greedily so that each toxic document is covered often; frequent words stand beside
-them. A unit is mapped to Nystroem features: normalised kernel values to the landmarks times the inverse root of
-the landmarks' own kernel. The linear SVM learns from labelled text: units of clean documents are negative (first
-a sample, then those that the round before scored highest), and in a toxic document those nearest to telling
-landmarks are positive. A sentence, and so a document, scores as its worst unit, calibrated on training documents
-by a logistic curve.
-
-Defined results: null, empty and wordless texts get the calibrated score of no unit; without both labels in
-the training rows every score is 0. Repeated rows get equal results. Texts are read whole.
+the lengths they span in either string; so gaps and inserted characters weaken a match and do not end it. The units of
+a text are windows of WINDOW characters, at every place, of its lower-case words, and of what its sentences hide words
+in: words without their inner punctuation and with letters for the digits and signs that stand for them ("i-d-1-o-t"),
+runs of single characters ("i d i o t"), and neighbours whose seam completes a part of a landmark ("id iot").
+
+Landmarks are character n-grams that best tell the labels of training texts apart, chosen greedily so that each toxic
+text is covered often. A text's kernel value to a landmark is the damped sum of its units' values, to the power SHARP, so
+many weak likenesses don't add up to a strong one; the values times the inverse root of the landmarks' own kernel are its
+Nystroem features. A linear SVM learns from labelled texts, and a logistic curve calibrates its margins. One sentence
+is scored in the same way as a text of many.
+
+Training reads a bounded sample of labelled texts, written once. Executors count n-grams and compute features; only
+counts of the POOL best n-grams and a row of features a sampled text come to the driver, whatever the texts' lengths.
+
+Defined results: null, empty and wordless texts get the score of no likeness at all; without both labels in
+the training rows every score is 0. Repeated rows and ids get equal results where their texts are equal. A label that
+repeats for an id is toxic if one of them says so. Ids pass as Arrow buffers, unchanged, null ones too. Columns other than
+doc_id, text and toxic are ignored, whatever their names. Texts of any length are read whole; words of any length are cut into
+windows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,36 +31,45 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare
+from .common import cut, held_out, prepare
 
 ORDER, DECAY = 3, 0.6
-TELLING, BACKGROUND = 28, 8
-#: Labelled documents that are fitted at most, half of either label; those that landmarks are chosen from; and
-#: units of clean documents that the SVM sees at most.
-SAMPLE, CHOOSING, NEGATIVES = 3000, 800, 12000
-WINDOW, STRIDE = 8, 3
-GRAMS = (4, 5, 6, 7)
-#: Words whose scores a worker keeps before it starts anew.
+#: Landmarks; n-grams that they are chosen from; labelled documents that are fitted at most, half of either label.
+TELLING, POOL, SAMPLE = 64, 6000, 3000
+WINDOW, SHARP = 10, 4
+#: Similarities below this count as none; words that share no more than some letters have them.
+FAINT = 0.3
+GRAMS = (4, 5, 6, 7, 8)
+#: Words whose similarities a worker keeps before it starts anew. No result depends on it.
 CACHE = 600_000
 EDGES = "\"'()[]{}<>.,;:!?…|«»“”%&$#*="
+#: What stands for a letter inside a word; other signs are left out.
+STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 
 def units_of(word: str) -> list[str]:
-    """Windows that cover the word; each run of WINDOW - STRIDE + 1 characters lies whole in one of them."""
+    """Windows at every place."""
     if len(word) <= WINDOW:
         return [word] if word else []
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
+    return [word[i : i + WINDOW] for i in range(len(word) - WINDOW + 1)]
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words without outer punctuation; a run of three or more single characters is a word."""
+def bare(word: str) -> str:
+    """The word's letters, with letters for what stands for them."""
+    return "".join([c for c in word.translate(STANDS_FOR) if c.isalpha()])
+
+
+def words_of(text: str | None, seams: frozenset[str] = frozenset()) -> set[str]:
+    """Distinct lower-case words without outer punctuation, and the words that the text hides. seams: parts of landmarks that
+    make neighbours one word where they cross from one into the other."""
     words = [w.strip(EDGES) for w in (text or "").lower().split()]
     out = set(words)
-    run: list[str] = []
     if any(len(w) == 1 for w in out):
+        run: list[str] = []
         for w in [*words, "  "]:
             if len(w) == 1:
                 run.append(w)
@@ -61,6 +77,16 @@ def words_of(text: str | None) -> set[str]:
                 if len(run) >= 3:
                     out.add("".join(run))
                 run = []
+    if seams:
+        for a, b in zip(words, words[1:]):  # noqa: B905
+            if len(a) + len(b) <= WINDOW and a and b:
+                s = a[-3:] + b[:3]
+                k = min(3, len(a))
+                for i in range(max(0, k - 3), min(k, len(s) - 3)):
+                    if s[i : i + 4] in seams:
+                        out.add(a + b)
+                        break
+    out.update([b for w in out if not w.isalpha() and len(w) <= 4 * WINDOW and len(b := bare(w)) >= 4])
     out.discard("")
     return out
 
@@ -100,12 +126,10 @@ def norms(code: np.ndarray) -> np.ndarray:
 
 
 #: Number of a unit's subsequences -> the least norm it can have (all different).
-LEAST = np.array([0.0, *[0.0] * len(PLACES)])
+LEAST = np.zeros(len(PLACES) + 1)
 for _n in range(ORDER, WINDOW + 1):
     _w = WEIGHTS[PLACES[:, -1] < _n].astype(float)
     LEAST[len(_w)] = np.sqrt((_w**2).sum())
-#: Margins below this are of no interest and count as it.
-FLOOR = -0.6
 
 
 class Table:
@@ -119,91 +143,101 @@ class Table:
         for m in range(len(marks)):
             live = code[m] != 0
             np.add.at(self.values[:, m], np.searchsorted(self.keys, code[m][live]), WEIGHTS[live] / max(own[m], 1e-9))
+        self.most = self.values.max(1)
         rng = np.random.default_rng(1)
         while True:
             self.factor = np.uint64(rng.integers(1, 2**62)) * np.uint64(2) + np.uint64(1)
-            at = (self.keys * self.factor) >> np.uint64(44)
+            at = (self.keys * self.factor) >> np.uint64(42)
             if len(np.unique(at)) == len(at):
                 break
-        self.slots = np.zeros(1 << 20, np.int32)
+        self.slots = np.zeros(1 << 22, np.int32)
         self.slots[at] = np.arange(len(self.keys))
 
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, columns and key numbers where a unit's subsequence is one of a landmark."""
-        found = self.slots[(code * self.factor) >> np.uint64(44)]
+        found = self.slots[(code * self.factor) >> np.uint64(42)]
         rows, cols = np.nonzero(self.keys[found] == code)
         return rows, cols, found[rows, cols]
 
 
 @dataclass
-class Scorer:
+class Kernel:
+    """Normalised kernel values to landmarks."""
+
     landmarks: list[str]
-    root: np.ndarray  # inverse root of the landmarks' kernel
-    weights: np.ndarray
-    bias: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
-    known: dict[str, float] = field(default_factory=dict)
+    known: dict[str, np.ndarray | None] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.table = Table(codes(self.landmarks))
+        self.table = Table(codes([m[:WINDOW] for m in self.landmarks]))
+        self.seams = frozenset(m[i : i + 4] for m in self.landmarks for i in range(len(m) - 3))
 
-    def similarities(self, units: list[str]) -> np.ndarray:
-        """Normalised kernel values of units to landmarks."""
+    def similarities(self, units: list[str], faint: float = 0.0) -> np.ndarray:
+        """Units that can't reach `faint` with any landmark stay 0; the bound takes each subsequence's largest value."""
         out = np.zeros((len(units), len(self.landmarks)), np.float32)
         for at in range(0, len(units), 4096):
             code = subsequences(codes(units[at : at + 4096]))
             rows, cols, keys = self.table.hits(code)
+            if not len(rows):
+                continue
+            bound = np.bincount(rows, WEIGHTS[cols] * self.table.most[keys], len(code))
+            near = bound >= faint * np.maximum(LEAST[(code != 0).sum(1)], 1e-9)
+            own = near[rows]
+            rows, cols, keys = rows[own], cols[own], keys[own]
             if len(rows):
                 first = np.flatnonzero(np.diff(rows, prepend=-1))
                 sums = np.add.reduceat(WEIGHTS[cols][:, None] * self.table.values[keys], first, axis=0)
                 out[at + rows[first]] = sums / norms(code[rows[first]])[:, None]
         return out
 
-    def margins(self, units: list[str]) -> np.ndarray:
-        """Values of the SVM: linear in a unit's subsequences, so that each landmark subsequence has one weight."""
-        weight = self.table.values @ (self.root @ self.weights)
-        out = np.full(len(units), self.bias, np.float64)
-        for at in range(0, len(units), 4096):
-            code = subsequences(codes(units[at : at + 4096]))
-            rows, cols, keys = self.table.hits(code)
-            if len(rows):
-                sums = np.bincount(rows, WEIGHTS[cols] * weight[keys], len(code))
-                least = LEAST[(code != 0).sum(1)]
-                hit = np.flatnonzero(sums > (FLOOR - self.bias) * least)  # others can't reach the floor
-                out[at + hit] = sums[hit] / norms(code[hit]) + self.bias
-                out[at + np.setdiff1d(rows, hit)] = FLOOR
-        return np.maximum(out, FLOOR)
-
     def learn(self, words: Iterable[str]) -> None:
-        """Scores of words that aren't known yet, all together."""
+        """The powers of the similarities of words that aren't known yet, all together: of each the greatest of its windows."""
         new = [w for w in words if w not in self.known]
         if not new:
             return
         parts = [units_of(w) for w in new]
         flat = list(dict.fromkeys(u for p in parts for u in p))
-        at = dict(zip(flat, self.margins(flat).tolist(), strict=True))
-        self.known.update((w, max(at[u] for u in p)) for w, p in zip(new, parts, strict=True))
+        at = {u: i for i, u in enumerate(flat)}
+        x = self.similarities(flat, FAINT)
+        live = x.max(1) >= FAINT
+        for w, p in zip(new, parts, strict=True):
+            rows = [i for u in p if live[i := at[u]]]
+            self.known[w] = (x[rows].max(0) ** SHARP).astype(np.float32) if rows else None
+
+    def pooled(self, texts: list[str | None]) -> np.ndarray:
+        """A row a text: damped sums of its words' powers."""
+        out = np.zeros((len(texts), len(self.landmarks)))
+        for at in range(0, len(texts), 250):
+            bags = [words_of(t, self.seams) for t in texts[at : at + 250]]
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self.learn(set().union(*bags))
+            get = self.known.__getitem__
+            for i, b in enumerate(bags):
+                found = [v for v in map(get, b) if v is not None]
+                if found:
+                    out[at + i] = np.log1p(np.sum(found, 0, dtype=np.float64))
+        return out
 
-    def worst(self, texts: list[str | None]) -> list[float]:
-        """The largest margin of each text's words; EMPTY without a word."""
-        bags = [words_of(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.learn(set().union(*bags))
-        return [max(map(self.known.__getitem__, b), default=EMPTY) for b in bags]
 
-    def score(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(np.clip(-(self.slope * margin + self.shift), -50, 50))))
+@dataclass
+class Scorer:
+    kernel: Kernel
+    weights: np.ndarray  # of pooled kernel values: the root of the landmarks' kernel is in them
+    bias: float
+    slope: float = 1.0
+    shift: float = 0.0
 
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        # rounded, as the order of a text's words isn't the same in every worker
+        return np.round(self.kernel.pooled(texts) @ self.weights + self.bias, 6)
 
-#: The margin of a text without words.
-EMPTY = FLOOR
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip(-(self.slope * self.margins(texts) + self.shift), -50, 50)))
 
 
-def svm(x: np.ndarray, y: np.ndarray, mass: np.ndarray, rounds: int = 30, cost: float = 3000.0) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, cost: float = 1000.0) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge and equal mass for both classes, by Newton steps on the margin's active set."""
-    weight = mass * np.where(y > 0, 0.5 / mass[y > 0].sum(), 0.5 / mass[y <= 0].sum())
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum())
     z = np.concatenate((x, np.ones((len(x), 1))), 1).astype(float)
     ridge = np.diag([1 / cost] * x.shape[1] + [1e-9])
     w, active = np.zeros(z.shape[1]), np.ones(len(z), bool)
@@ -214,107 +248,99 @@ def svm(x: np.ndarray, y: np.ndarray, mass: np.ndarray, rounds: int = 30, cost:
         if (now == active).all():
             break
         active = now
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w[:-1], float(w[-1])
 
 
-def grams(words: set[str]) -> set[str]:
+def grams(words: Iterable[str]) -> set[str]:
     return {w[i : i + k] for w in words for k in GRAMS for i in range(len(w) - k + 1)}
 
 
-def landmarks(bags: list[tuple[set[str], int]]) -> tuple[list[str], list[str]]:
-    """Telling n-grams and frequent words of labelled documents."""
-    n = Counter(y for _, y in bags)
-    usual = {w for w, c in Counter(w for words, y in bags if not y for w in words).items() if c > 0.03 * n[0]}
-    toxic = [grams(words - usual) for words, y in bags if y]
-    seen = {1: Counter(g for own in toxic for g in own)}
-    worth = {g for g, c in seen[1].items() if c >= max(3, 0.015 * n[1])}
-    seen[0] = Counter(g for words, y in bags if not y for g in grams(words) & worth)
-
-    def gain(w: str) -> float:
-        p, q = seen[1][w] / n[1], (seen[0][w] + 0.5) / (n[0] + 1)
-        return p * np.log(p / q) if p > 3 * q else 0.0
-
-    pool = sorted((w for w, c in seen[1].items() if c >= max(3, 0.015 * n[1]) and gain(w) > 0), key=lambda w: (-gain(w), -len(w), w))[:4000]
-    inside = np.array([[w in g for g in toxic] for w in pool], np.float32).reshape(len(pool), len(toxic))
-    rarity = np.array([np.log(max((seen[1][w] / n[1]) / ((seen[0][w] + 0.5) / (n[0] + 1)), 1)) + 0.02 * len(w) for w in pool], np.float32)
-    need, telling = np.ones(len(toxic), np.float32), []
-    while len(pool) and len(telling) < TELLING:
-        value = (inside @ need) * rarity
+def landmarks(pool: list[tuple[str, int, int]], covers: list[list[int]], n: tuple[int, int], most: int = TELLING) -> list[str]:
+    """n-grams from a pool of (gram, clean texts with it, toxic ones), greedily: the next is what tells most about toxic
+    texts (covers: which grams of the pool each holds) that have few yet. None is a part of another."""
+    names = [g for g, _, _ in pool]
+    inside = np.zeros((len(pool), len(covers)), np.float32)
+    for i, own in enumerate(covers):
+        inside[own, i] = 1
+    worth = np.array([np.log((b / n[1]) / ((a + 0.5) / (n[0] + 1))) + 0.1 * len(g) for g, a, b in pool], np.float32)
+    need, out = np.ones(len(covers), np.float32), []
+    while len(pool) and len(out) < most:
+        value = (inside @ need) * worth
         best = int(value.argmax())
-        if value[best] <= 1:
+        if value[best] <= 2:
             break
-        w = pool[best]
-        telling.append(w)
+        g = names[best]
+        out.append(g)
         need *= 1 - 0.4 * inside[best]
-        parts = {w[i : i + 3] for i in range(len(w) - 2)}
-        rarity *= np.array([len(parts & {v[i : i + 3] for i in range(len(v) - 2)}) < 2 for v in pool])
-    common = Counter(w for words, _ in bags for w in words if 3 < len(w) <= WINDOW and w not in telling)
-    return telling, [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND]]
+        worth *= np.array([not (g in v or v in g) for v in names])
+    return out
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 3) -> Scorer | None:
-    """A scorer from (text, label)."""
-    bags = [(words_of(t), y) for t, y in rows]
-    half = [[b for b in bags if b[1] == y] for y in (0, 1)]
-    if not half[0] or not half[1]:
-        return None
-    telling, common = landmarks(half[0][: CHOOSING // 2] + half[1][: CHOOSING // 2])
-    if not telling:
-        return None
-    marks = telling + common
-    s = Scorer(marks, np.eye(len(marks), dtype=np.float32), np.zeros(len(marks), np.float32))
-    values, vectors = np.linalg.eigh(s.similarities(marks).astype(float) + 1e-2 * np.eye(len(marks)))
-    s.root = ((vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T).astype(np.float32)
-    rng = np.random.default_rng(seed)
-
-    often = Counter(u for words, y in bags if not y for u in {u for w in words for u in units_of(w)})
-    clean = sorted(often, key=lambda u: (-often[u], u))
-    bad = [sorted({u for w in words for u in units_of(w)}) for words, y in half[1]]
-    flat = sorted(set().union(*map(set, bad)))
-    where = {u: i for i, u in enumerate(flat)}
-    near = s.similarities(flat)
-    known = set(clean)
-    chosen: set[int] = set()
-    for units in bad:
-        at = np.array([where[u] for u in units if u not in known] or [where[u] for u in units], int)
-        x = near[at, : len(telling)]
-        best = x.argmax(0)[np.argsort(-x.max(0))[:3]]
-        top = x.max()
-        chosen.update(int(at[i]) for i in best if x[i].max() >= max(0.45, 0.7 * top))
-    held = Counter(u for units in bad for u in units)
-    positive, own_mass = near[sorted(chosen)], np.array([float(held[flat[i]]) for i in sorted(chosen)])
-    if not len(positive):
-        return None
-    usual = NEGATIVES // 3  # the most frequent always count
-    clean = clean[:usual] + [clean[i] for i in usual + np.sort(rng.permutation(max(0, len(clean) - usual))[: 5 * NEGATIVES])]
-    away, mass = s.similarities(clean), np.array([float(often[u]) for u in clean])
-    first = np.arange(min(usual, len(clean)))
-    picked = np.union1d(first, rng.permutation(len(clean))[: NEGATIVES // 2])
-    for _ in range(3):
-        x = np.concatenate((positive, away[picked])) @ s.root
-        s.weights, s.bias = svm(x, np.concatenate((np.ones(len(positive)), -np.ones(len(picked)))), np.concatenate((own_mass, mass[picked])))
-        hard = np.argsort(-(away @ (s.root @ s.weights)))[: NEGATIVES // 3]
-        picked = np.union1d(np.union1d(first, rng.permutation(len(clean))[: NEGATIVES // 3]), hard)
-    m = np.array(s.worst([t for t, _ in rows]))
-    y = np.array([v for _, v in rows], float)
+def fitted(kernel: Kernel, x: np.ndarray, y: np.ndarray) -> Scorer:
+    """A scorer from pooled values and labels (0, 1)."""
+    own = kernel.similarities([m[:WINDOW] for m in kernel.landmarks]).astype(float) + 1e-2 * np.eye(len(kernel.landmarks))
+    values, vectors = np.linalg.eigh(own)
+    root = (vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    w, bias = svm(x @ root, np.where(y > 0, 1.0, -1.0))
+    s = Scorer(kernel, root @ w, bias)
+    m = x @ s.weights + bias
     middle, spread = m.mean(), max(m.std(), 1e-6)
     z, a, b = (m - middle) / spread, 1.0, 0.0
     for _ in range(1500):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         a, b = a + 2.0 * ((y - p) * z).mean() - 1e-4 * a, b + 2.0 * (y - p).mean()
     s.slope, s.shift = max(a, 0.0) / spread, b - max(a, 0.0) * middle / spread
-    s.known = {}
     return s
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer | None:
-    """A scorer from documents (doc_id, text) with labels (doc_id, toxic). At most `sample` labelled texts, half
-    of either label where there are as many, by least hash, come to the driver."""
-    marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """text and toxic of at most `sample` labelled ids, half of either label where there are as many, by least hash; one
+    text of an id."""
+    marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     ranked = marks.withColumn("h", F.xxhash64("doc_id"))
     picked = ranked.where("toxic = 1").orderBy("h").limit(sample // 2).union(ranked.where("toxic = 0").orderBy("h").limit(sample // 2))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "h").collect()
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"] or ""))])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return cut(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", F.xxhash64("doc_id").alias("h")))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TELLING) -> Scorer | None:
+    """A scorer from documents (doc_id, text) with labels (doc_id, toxic)."""
+    rows = sampled(docs, labels, sample)
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return None
+
+    def counts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                own = pa.array(grams(words_of(t)), pa.string())
+                yield pa.RecordBatch.from_arrays([own, *[pa.array(np.full(len(own), v), pa.int64()) for v in (1 - y, y)]], ["g", "n0", "n1"])
+
+    counted = rows.mapInArrow(counts, "g string, n0 bigint, n1 bigint").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    ratio = (F.col("n1") / n[1]) / ((F.col("n0") + 0.5) / (n[0] + 1))
+    telling = counted.where((F.col("n1") >= max(3, 0.01 * n[1])) & (ratio > 4)).withColumn("gain", F.round(F.col("n1") / n[1] * F.log(ratio), 9))
+    best = telling.orderBy(F.desc("gain"), F.length("g").desc(), "g").limit(POOL).select("g", "n0", "n1")
+    pool = [tuple(r) for r in best.collect()]
+    spark = prepare(docs.sparkSession)
+    place = spark.sparkContext.broadcast({g: i for i, (g, _, _) in enumerate(pool)})
+
+    def cover(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"h": f["h"], "own": [[i for g in grams(words_of(t)) if (i := place.value.get(g)) is not None] for t in f["text"]]})
+
+    covers = [r["own"] for r in rows.where("toxic = 1").mapInPandas(cover, "h bigint, own array<int>").orderBy("h").collect()]
+    marks = landmarks(pool, covers, (n[0], n[1]), most)
+    if not marks:
+        return None
+    kernel = Kernel(marks)
+    shared = spark.sparkContext.broadcast(kernel)
+
+    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"h": f["h"], "toxic": f["toxic"], "x": list(shared.value.pooled(list(f["text"])))})
+
+    found = rows.mapInPandas(values, "h bigint, toxic int, x array<double>").orderBy("h", "toxic").collect()
+    return fitted(kernel, np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
 
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -323,15 +349,13 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each document's whole text."""
     spark = prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     model = spark.sparkContext.broadcast(train(docs, labels))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for f in frames:
-            texts = list(f["text"])
-            worst = [x for at in range(0, len(texts), 250) for x in (m.worst(texts[at : at + 250]) if m else [])]
-            s = np.array([m.score(x) for x in worst] or [0.0] * len(f), float)
-            yield f[["doc_id", "held_out"]].assign(score=s, predicted=(s >= 0.7).astype(np.int32))
+        for b in found:
+            s = m.scores(b.column(2).to_pylist()) if m else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInPandas(batches, SCHEMA)
+    return rows.mapInArrow(batches, SCHEMA)
