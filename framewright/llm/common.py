@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it isn't installed."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
-
+from ..session import discard, prepare, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests)."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="framewright-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+__all__ = ["cut", "discard", "fold_of", "held_out", "let", "numbered", "prepare", "shared_dir", "table"]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and what
     follows survives the loss of executors without computing df again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, "cut")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

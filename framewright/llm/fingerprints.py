@@ -8,7 +8,8 @@ and 32 bits of its hash. `likeness` is the Jaccard similarity of anchors, counti
 their order.
 
 Defined results: null text counts as empty; an empty text's fingerprint is '' (two of them are alike 1, one and
-another text 0); equal texts have equal fingerprints.
+another text 0); equal texts have equal fingerprints. Texts are read whole, one at a time, megabytes too; ids pass
+unchanged, null ones too; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def fingerprints(docs: DataFrame, rows_a_bucket: int = 1000, least: int = 1, mos
                         rows.append(row(held, *firsts[held[0]]))
                 if held is None or held[0] != b:
                     firsts = {b: (text, fp)}
-                held = (b, None if pd.isna(doc_id) else int(doc_id), text, fp) if own else None
+                held = (b, doc_id, text, fp) if own else None
                 if (size := size + len(text)) > HELD:
                     yield frame(rows, names)
                     rows, size = [], 0
@@ -181,8 +182,8 @@ def fingerprints(docs: DataFrame, rows_a_bucket: int = 1000, least: int = 1, mos
             yield frame([row(held, *firsts[held[0]])], names)
 
     def frame(rows, names):
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = pd.array(list(out["doc_id"]), dtype="Int64")
-        return out
+        return pd.DataFrame(rows, columns=names).astype({"doc_id": object})
 
-    return in_order(docs, partitions).mapInPandas(run, SCHEMA)
+    # the id passes as text, as pandas holds bigints with nulls as floats
+    named = in_order(docs, partitions).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return named.mapInPandas(run, SCHEMA.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -8,7 +8,8 @@ count. The plan says, per length, which ranks go to which sequences and offsets.
 length in two levels (salts, then rows of a salt), so that a length that many pieces share isn't one task's.
 
 Defined results: null text counts as empty (the end id alone); repeated rows are packed each; equal rows may swap
-places; an empty table gives an empty result. Nothing is cut but pieces longer than LENGTH.
+places; an empty table gives an empty result; ids pass unchanged, null ones too; other columns are ignored, whatever
+their names; texts of any length are encoded whole. Nothing is cut but pieces longer than LENGTH.
 """
 
 from __future__ import annotations
@@ -140,7 +141,9 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                         rows.append((doc_id, i // (4 * length), i // 4, len(own) // 4, zlib.crc32(own)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(batches, PIECES)
+    # the id passes as text, as pandas holds bigints with nulls as floats
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(batches, PIECES.replace("doc_id bigint", "doc_id string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def patterns(h: np.ndarray, each: int = 6) -> list[tuple[int, ...]]:
@@ -284,4 +287,6 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             yield f[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=seq, offset=off)
 
     dealt = own.repartition("length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece", "ids_crc32", "start")
-    return dealt.mapInPandas(batches, PIECES + ", sequence_id bigint, offset bigint")
+    named = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    placed = named.mapInPandas(batches, PIECES.replace("doc_id bigint", "doc_id string") + ", sequence_id bigint, offset bigint")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("bigint"))

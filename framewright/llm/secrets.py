@@ -7,8 +7,10 @@ A pair is reported where its name (or a name it is propagated to) is sensitive a
 enough for how sensitive the name is.
 
 The lexer starts at operators, not at words, so prose costs one scan; every step moves forward, and the work is
-linear in the text. Defined results: null text counts as empty; repeated rows get equal results; texts are
-read whole; positions are code points, ends exclusive.
+linear in the text. Comments, documents in triple quotes, heredocs and block scalars are read like other text: pairs in them
+count. Defined results: null text counts as empty; repeated rows get equal results; texts are read whole, megabytes too;
+an empty table gives an empty result; columns other than doc_id and text are ignored, whatever their names; positions are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import prepare
 
@@ -215,16 +218,19 @@ SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sh
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, text): counts, digest of base spans, all spans."""
+    """One row per document (doc_id, text): counts, digest of base spans, all spans. Ids pass as Arrow buffers, unchanged."""
     prepare(docs.sparkSession)
+    fields = [c.split() for c in SCHEMA.split(", ")]
+    types = [pa.string() if t == "string" else pa.int64() for _, t in fields[1:]]
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
             rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
+            for text in b.column(1).to_pylist():
                 own, every = scan(text or "")
                 n = Counter(k for _, k, _ in every)
-                rows.append((doc_id, n[0], n[1], n[2], hashlib.sha256(joined(own).encode()).hexdigest(), joined(every), n[3]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": f["doc_id"].dtype})
+                rows.append((n[0], n[1], n[2], hashlib.sha256(joined(own).encode()).hexdigest(), joined(every), n[3]))
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, t in zip(columns, types, strict=True)]], [c for c, _ in fields])
 
-    return docs.select("doc_id", "text").mapInPandas(batches, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(batches, SCHEMA)

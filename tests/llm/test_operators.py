@@ -148,13 +148,54 @@ def test_subsequence_kernel():
         dot = lambda p, q: sum(v * q[u] for u, v in p.items())
         return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
 
-    import numpy as np
-
-    s = toxicity.Scorer(["idiot", "clown"], np.eye(2, dtype=np.float32), np.zeros(2, np.float32))
-    got = s.similarities(["id-iot", "clowns", "idid"])
-    for i, u in enumerate(["id-iot", "clowns", "idid"]):
+    k = toxicity.Kernel(["idiot", "clown"])
+    units = ["id-iot", "clowns", "idid", "i-d-i-o-t-s"[:10]]
+    got = k.similarities(units)
+    for i, u in enumerate(units):
         for j, m in enumerate(["idiot", "clown"]):
             assert got[i, j] == pytest.approx(brute(u, m), abs=1e-5)
+    far = k.similarities(units, 0.3)
+    assert all(far[i, j] == got[i, j] for i in range(4) for j in range(2) if got[i].max() >= 0.3)
+
+
+def test_toxicity_hidden_words():
+    """Gapped, spelt out, split and disguised words are scored as the words; also one sentence alone."""
+    k = toxicity.Kernel(["idiot", "moron"])
+    plain = k.pooled(["you idiot", "you moron"])
+    for t, row in (("you i-d-i-o-t.", 0), ("you i d i o t you", 0), ("you id iot", 0), ("m0r0n!", 1), ("you m.o.r.o.n", 1), ("mo ron", 1)):
+        assert k.pooled([t])[0, row] >= plain[row, row] - 1e-9, t
+    assert k.pooled(["an idxiot"])[0, 0] > 0 and k.pooled(["the studio is on", None, "", "x" * 100_000]).max() == 0
+    assert k.pooled(["his idea, riot"]).max() < plain.max() / 2
+
+
+def test_toxicity_sf(spark):
+    """Held-out quality on labels that hold noise."""
+    import pandas as pd
+
+    from framewright.llm import queries
+
+    d = "/root/testdata/sf0.1"
+    out = queries.op4_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    y, rank = out["toxic"] == 1, pd.Series(out["score"]).rank()
+    auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    assert auc > 0.955 and out["predicted"][y].mean() > 0.6 and out["predicted"][~y].mean() < 0.02
+
+
+BIG = 2**53 + 1
+
+
+@pytest.mark.parametrize("name", ["secrets", "fingerprints", "language", "toxicity", "pii", "jaccard", "mixing", "quality", "packing"])
+def test_large_ids(spark, name):
+    """Ids beyond 2 ** 53 pass unchanged beside null ones."""
+    from framewright.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(BIG, "the river and the house under it was quiet today", "en", "s", 1), (None, "another text that has no id of its own at all", "en", "s", 1), (-BIG, "y", "en", "s", 1)], SCHEMA).coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 0), (-BIG, 0, 1)], "doc_id bigint, quality int, toxic int")
+    run = {
+        "secrets": lambda: secrets.find_secrets(docs), "fingerprints": lambda: fingerprints.fingerprints(docs), "language": lambda: language.identify(docs), "toxicity": lambda: toxicity.score(docs, labels), "pii": lambda: pii.detect(docs),
+        "jaccard": lambda: jaccard.near_duplicates(docs), "mixing": lambda: mixing.mix_sources(docs, target_rows=300), "quality": lambda: quality.quality_rules(docs, labels), "packing": lambda: packing.pack(docs, tokenizer_path()),
+    }
+    assert {r["doc_id"] for r in run[name]().collect()} == {BIG, None, -BIG}
 
 
 def test_pii(docs, texts):
