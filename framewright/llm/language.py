@@ -6,7 +6,8 @@ codeword of least weighted logistic loss; a bit weighs as much as its accuracy o
 from training. A small gap between the best two codewords flags the text as ambiguous.
 
 Defined results: null texts and texts without a letter are `und`, score 0; without any labelled row all texts
-are `und`; with one language every text with a letter gets it. Repeated rows get equal results.
+are `und`; with one language every text with a letter gets it. Repeated rows get equal results. Texts are read whole,
+megabytes too; an empty table gives an empty result; ids and all other columns pass as Arrow buffers, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ UNKNOWN = "und"
 #: Rows of the training sample: a language at most, and in all; but each language has LEAST, however many there are.
 SAMPLE_A_LANGUAGE, SAMPLE, LEAST = 800, 6000, 20
 AMBIGUOUS = 0.2
+#: Rows of features that are widened at a time.
+ROWS = 500
 
 _fold: np.ndarray | None = None
 
@@ -104,7 +107,8 @@ class Decoder:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4.0, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Planes and biases for all bits at once, by accelerated gradient descent on class-balanced loss."""
+    """Planes and biases for all bits at once, by accelerated gradient descent on class-balanced loss. x may be of half
+    precision: ROWS of it at a time are widened."""
     n, bits = y.shape
     share = (y > 0).mean(0)
     weight = np.where(y > 0, 0.5 / np.maximum(share, 1e-6), 0.5 / np.maximum(1 - share, 1e-6)).astype(np.float32) / n
@@ -113,43 +117,54 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4.0,
     for i in range(rounds):
         m = i / (i + 3)
         lw, lb = w + m * vw, b + m * vb
-        g = -y * weight / (1 + np.exp(np.clip(y * (x @ lw + lb), -30, 30)))
-        nw, nb = lw - rate * 4 * (x.T @ g + ridge * lw), lb - rate * g.sum(0)
+        slope, drop = ridge * lw, np.zeros(bits, np.float32)
+        for at in range(0, n, ROWS):
+            part, yp = x[at : at + ROWS].astype(np.float32), y[at : at + ROWS]
+            g = -yp * weight[at : at + ROWS] / (1 + np.exp(np.clip(yp * (part @ lw + lb), -30, 30)))
+            slope += part.T @ g
+            drop += g.sum(0)
+        nw, nb = lw - rate * 4 * slope, lb - rate * drop
         vw, vb, w, b = nw - w, nb - b, nw, nb
     return w, b
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_A_LANGUAGE, total: int = SAMPLE) -> Decoder | None:
     """A decoder from labelled rows (doc_id, text, lang), for every lang that isn't null. At most `per_language` rows
-    of a language and `total` rows in all (but LEAST a language), of least hash, are fitted: their features (DIM floats
-    a row) come to the driver."""
+    of a language and `total` rows in all (but LEAST a language), of least hash, are fitted: their features (DIM numbers of
+    half precision a row) come to the driver, a partition at a time. A fifth of them, by hash, only weighs the bits."""
     spark = prepare(labelled.sparkSession)
     counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
     if not counts:
         return None
     per = max(1, min(per_language, max(LEAST, total // len(counts))))
     shares = spark.createDataFrame([(k, min(1.0, 1.5 * per / n + 20 / n)) for k, n in sorted(counts.items())], "lang string, share double")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = labelled.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(part < F.col("share"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(lang, h, x.tobytes()) for lang, h, t in zip(f["lang"], f["h"], f["text"], strict=True) if (x := features(t)) is not None]
+            found = [(lang, h, x.astype(np.float16).tobytes()) for lang, h, t in zip(f["lang"], f["h"], f["text"], strict=True) if (x := features(t)) is not None]
             yield pd.DataFrame(found, columns=["lang", "h", "x"])
 
-    hashed = picked.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInPandas(batches, "lang string, h bigint, x binary")
+    hashed = picked.select("lang", F.xxhash64("text", "doc_id").alias("h"), "text").mapInPandas(batches, "lang string, h bigint, x binary")
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))
-    kept = hashed.withColumn("i", order).where(F.col("i") <= per).orderBy("h", "lang").collect()
-    languages = sorted({r["lang"] for r in kept})
+    x, names, hashes = np.empty((per * len(counts), DIM), np.float16), [], []
+    for lang, h, row in hashed.withColumn("i", order).where(F.col("i") <= per).select("lang", "h", "x").toLocalIterator():
+        x[len(names)] = np.frombuffer(row, np.float16)
+        names.append(lang)
+        hashes.append(h)
+    languages = sorted(set(names))
     codes = codebook(len(languages))
     if len(languages) < 2:
         return Decoder(languages, codes, np.ones(0), np.zeros((DIM, 0)), np.zeros(0)) if languages else None
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in kept])
     place = {lang: i for i, lang in enumerate(languages)}
-    y = codes[[place[r["lang"]] for r in kept]].astype(np.float32)
-    check = np.arange(len(x)) % 5 == 0 if len(x) >= 50 else np.zeros(len(x), bool)
-    w, b = logistic(x[~check], y[~check])
-    right = (((x[check] @ w + b) * y[check]) > 0).mean(0) if check.any() else np.ones(codes.shape[1])
+    by_hash = sorted(range(len(names)), key=lambda i: (hashes[i], names[i]))
+    checked = [i for k, i in enumerate(by_hash) if k % 5 == 0] if len(names) >= 50 else []
+    learnt = [i for k, i in enumerate(by_hash) if k % 5] if checked else by_hash
+    y = codes[[place[n] for n in names]].astype(np.float32)
+    own, x = x[checked].astype(np.float32), x[learnt]
+    w, b = logistic(x, y[learnt])
+    right = (((own @ w + b) * y[checked]) > 0).mean(0) if checked else np.ones(codes.shape[1])
     weights = np.log(np.clip(right, 0.5, 0.999) / (1 - np.clip(right, 0.5, 0.999)))
     return Decoder(languages, codes, weights if weights.any() else np.ones(len(weights)), w, b)
 
