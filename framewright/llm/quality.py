@@ -1,21 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule compares one ratio of a text with a cutoff. On labelled texts the exact (Clopper-Pearson)
-upper bound of a rule's false-rejection rate is computed for every cutoff of a fixed grid and every
-stratum; a Bonferroni correction over all (rule, cutoff, stratum) tests makes all bounds hold at once
-with probability 1 - delta. The strictest cutoff whose bound is within alpha is used; a stratum with too
-few labels to prove any cutoff gets none, so nothing there is rejected by the method.
-
-Defined results: null text counts as empty (no words, base_failed); texts whose stratum is null form the
-stratum ''; repeated rows are judged alike; unlabelled tables give no cutoffs.
+Each rule compares one ratio of a text with a cutoff. Every stratum has a path of rule vectors from lax to strict, ordered on
+bad and unlabelled texts. On good labelled texts the exact (Clopper-Pearson) upper bound of the whole verdict's
+false-rejection rate, all rules of a vector together, is tested step by step; the last proven step is used. Testing
+fixed sequences and sharing delta among the strata make the bound alpha hold in all strata at once with probability 1 - delta.
+A stratum with too few labels to prove any step gets none, so nothing there is rejected by the method.
+
+Defined results: null text counts as empty (no words, base_failed); texts whose stratum is null form the stratum '';
+repeated rows are judged alike; an id that is labelled twice counts by its best label; null ids are never labelled;
+unlabelled tables give no cutoffs; an empty table gives an empty result; texts of any length are measured whole; columns
+other than doc_id, text, lang and quality are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let
@@ -98,75 +99,102 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
 
 
-def binomial_upper(k: int, n: int, delta: float) -> float:
-    """The largest rate p with P(X <= k | n, p) >= delta: the exact upper bound at confidence 1 - delta."""
-    if k >= n:
-        return 1.0
-
-    def tail(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
-    lo, hi = k / n, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if mid > 0 and tail(mid) >= delta else (lo, mid) if mid > 0 else (lo, hi)
-    return hi
-
-
-@dataclass
-class Thresholds:
-    """cutoffs: stratum -> rule -> cutoff."""
-
-    cutoffs: dict[str, dict[str, float]]
-    alpha: float
-    delta: float
-
-    def verdict(self, q: Column, stratum: Column) -> Column:
-        """True where no rule of the text's stratum rejects it."""
-        if not any(self.cutoffs.values()):
-            return F.lit(True)
-        r, s = ratios(q), F.coalesce(stratum, F.lit(""))
-        bad = F.lit(False)
-        for rule, (large, _) in RULES.items():
-            known = {k: v[rule] for k, v in self.cutoffs.items() if rule in v}
-            if known:
-                cut = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-                bad = bad | F.coalesce(fails(r[rule], large, F.try_element_at(cut, s)), F.lit(False))
-        return ~bad
-
-
-def fit(labelled: DataFrame, stratum: str, good: str, alpha: float = 0.01, delta: float = 0.05) -> Thresholds:
-    """Cutoffs from measured, labelled texts. One pass counts, per stratum, the good texts and those that
-    each cutoff would reject; only these counts (strata x rules x cutoffs) come to the driver."""
+#: (rule, cutoff, whether large values are bad), rule by rule from strict to lax.
+TESTS = tuple((rule, c, large) for rule, (large, cuts) in RULES.items() for c in cuts)
+#: Strata up to which their paths are broadcast (a row is under 1 KB); above, they are joined by shuffle.
+BROADCAST_STRATA = 10_000
+
+
+def proven(k: Column, n: Column, alpha: float, level: Column) -> Column:
+    """Whether k rejections of n good texts prove a rate within alpha: P(X <= k | n, alpha) <= level, which says that the
+    exact upper bound of Clopper and Pearson at confidence 1 - level is alpha at most. The sum runs down from its largest term."""
+    odds = math.log(alpha) - math.log1p(-alpha)
+    start = F.struct(F.lit(0.0).alias("lc"), F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(a: Column, i: Column) -> Column:
+        term = a["term"] * (k - i + 1) / (n - k + i) * math.exp(-odds)
+        return F.struct((a["lc"] + F.log((n - k + i) / i)).alias("lc"), term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    terms = F.when(k == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), start, step))
+    tail = let(terms, lambda t: t["lc"] + F.log(t["sum"]) + n * math.log1p(-alpha) + k * odds)
+    return F.when((n == 0) | (k > alpha * n), False).otherwise(tail <= F.log(level))
+
+
+def first_step(q: Column, place: Column) -> Column:
+    """The first step of a path (place: each test's step) that rejects a text; null if none does."""
+    r = ratios(q)
+    return F.least(*[F.when(fails(r[rule], large, F.lit(c)), F.get(place, F.lit(i))) for i, (rule, c, large) in enumerate(TESTS)])
+
+
+def paths(rows: DataFrame) -> DataFrame:
+    """s, variant, share, place: each stratum's paths from lax to strict, a step a test. Steps are ordered by how many
+    unlabelled texts a test rejects for each bad one, so good labels, on which the steps are tested, have no part in it; tests that
+    reject no bad text are in no path (null). The first path has all rules and half of the stratum's level; each other
+    one leaves a rule out, so that a rule that rejects good texts doesn't stop the others."""
     r = ratios(F.col("_q"))
-    tests = {f"{rule}@{i}": fails(r[rule], large, F.lit(c)) for rule, (large, cuts) in RULES.items() for i, c in enumerate(cuts)}
-    ok = labelled.where((F.col(good) == 1) & ~base_failed(F.col("_q")))
-    rows = ok.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("s")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in tests.items()]).collect()
-    level = delta / max(1, len(rows) * len(tests))
-    cutoffs: dict[str, dict[str, float]] = {}
-    for row in rows:
-        own = cutoffs[row["s"]] = {}
-        for rule, (_, cuts) in RULES.items():
-            for i, c in enumerate(cuts):
-                if binomial_upper(row[f"{rule}@{i}"], row["n"], level) <= alpha:
-                    own[rule] = c
-                    break
-    return Thresholds(cutoffs, alpha, delta)
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    hit = [fails(r[rule], large, F.lit(c)) for rule, c, large in TESTS]
+    bad, free = F.col("_good") == 0, F.col("_good").isNull()
+    counts = rows.groupBy("s").agg(F.array(*[F.count_if(bad & h) for h in hit]).alias("b"), F.array(*[F.count_if(free & h) for h in hit]).alias("f"))
+    each = F.transform(F.col("b"), lambda b, i: F.struct((F.get("f", i) / F.greatest(b, F.lit(1))).alias("ratio"), (-b).alias("b"), i.alias("i")))
+    order = F.transform(F.array_sort(F.filter(each, lambda x: x["b"] < 0)), lambda x: x["i"])
+
+    def without(o: Column, gone: list[int]) -> Column:
+        return F.filter(o, lambda i: ~i.isin(gone))
+
+    def variants(o: Column) -> Column:
+        out = []
+        for v, rule in enumerate([None, *RULES]):
+            own = [i for i, t in enumerate(TESTS) if t[0] == rule]
+            kept = without(o, own) if rule else o
+            place = let(kept, lambda p: F.transform(F.sequence(F.lit(0), F.lit(len(TESTS) - 1)), lambda i: F.nullif(F.array_position(p, i), F.lit(0))))
+            out.append(F.struct(F.lit(v).alias("variant"), F.lit(0.5 / len(RULES) if rule else 0.5).alias("share"), place.alias("place")))
+        return F.array(*out)
+
+    return counts.select("s", F.inline(let(order, variants)))
+
+
+def fit(rows: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """s, place, last: for each stratum a path and the last step that may reject. rows: s, _q, _good (null: unlabelled),
+    without those that fail the base rules.
+
+    A path's steps reject nested sets. They are tested in order, on good texts, each at the path's whole level, until one isn't
+    proven (a fixed sequence needs no correction for its steps); delta is shared among the strata and their paths. So with
+    probability 1 - delta all proven steps of all paths in all strata reject, all rules together, a share of good texts
+    within alpha. Of a stratum's paths the one is used that rejects most bad texts."""
+    steps = cut(paths(rows))
+    at = F.coalesce(first_step(F.col("_q"), F.col("place")), F.lit(len(TESTS) + 1))
+    known = rows.where("_good is not null").join(shared(steps), "s").select("s", "variant", "share", "_good", at.alias("at"))
+    counts = cut(known.groupBy("s", "variant", "share", "_good", "at").agg(F.count(F.lit(1)).alias("c")))
+    good = counts.where("_good = 1")
+    level = delta / max(1, good.select("s").distinct().count())
+    w = Window.partitionBy("s", "variant")
+    running = good.select("s", "variant", F.col("share") * level, "at", F.sum("c").over(w).alias("n"), F.sum("c").over(w.orderBy("at")).alias("k")).toDF("s", "variant", "level", "at", "n", "k")
+    ok, none = (proven(k, F.col("n"), alpha, F.col("level")) for k in (F.col("k"), F.lit(0).cast("bigint")))
+    ends = running.groupBy("s", "variant").agg(F.min(F.when(~ok, F.col("at"))).alias("stop"), F.bool_and(none).alias("any"))
+    last = ends.select("s", "variant", F.when(F.col("any"), F.coalesce(F.col("stop") - 1, F.lit(len(TESTS)))).otherwise(0).alias("last"))
+    gains = last.join(counts.where("_good = 0"), ["s", "variant"], "left").groupBy("s", "variant", "last").agg(F.sum(F.when(F.col("at") <= F.col("last"), F.col("c")).otherwise(0)).alias("gain"))
+    best = gains.groupBy("s").agg(F.max(F.struct("gain", (-F.col("variant")).alias("v"), "last")).alias("x"))
+    chosen = best.select("s", (-F.col("x.v")).alias("variant"), "x.last")
+    return steps.join(chosen, ["s", "variant"]).select("s", "place", "last")
+
+
+def shared(strata: DataFrame) -> DataFrame:
+    """Broadcast if there are few."""
+    return F.broadcast(strata) if strata.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA else strata
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """docs (doc_id, text, lang) judged by rules calibrated on labels (doc_id, quality).
 
     Every text is measured once; its counts (a few numbers a document) are written to the shared folder, and both
     calibration and verdicts read them, so no text is shuffled."""
-    own = cut(measured(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "_q"))
-    marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    thresholds = fit(own.join(marks, "doc_id"), "lang", "_good", alpha, delta)
     q = F.col("_q")
-    keep = ~base_failed(q) & thresholds.verdict(q, F.col("lang"))
-    return own.select(
+    own = cut(measured(docs.select("doc_id", "text", "lang")).select("doc_id", F.coalesce("lang", F.lit("")).alias("s"), "_q"))
+    marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
+    strata = cut(fit(own.where(~base_failed(q)).join(marks, "doc_id", "left"), alpha, delta))
+    judged = own.join(shared(strata), "s", "left")
+    keep = ~base_failed(q) & ~F.coalesce(first_step(q, F.col("place")) <= F.col("last"), F.lit(False))
+    return judged.select(
         "doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"),
         q["n_repeat_words"].alias("n_repeat_words"), base_failed(q).alias("base_failed"), keep.alias("kept"),
     )

@@ -328,7 +328,59 @@ def test_quality(spark, docs, texts):
         grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         covered = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         assert (r["n_words"], r["n_repeat_words"]) == (len(w), len(covered)) and r["kept"] <= (not r["base_failed"])
-    assert quality.binomial_upper(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-6)
+
+
+def test_quality_bound(spark):
+    """The exact test against sums of the distribution's terms."""
+    from math import comb
+
+    cases = [(k, n) for n in (0, 5, 148, 149, 400, 1500) for k in (0, 1, 3, 12, 20) if k <= n]
+    rows = spark.createDataFrame(cases, "k bigint, n bigint").select("k", "n", quality.proven(F.col("k"), F.col("n"), 0.02, F.lit(0.05))).collect()
+    for k, n, ok in rows:
+        tail = sum(Fraction(comb(n, i)) * Fraction(2, 100) ** i * Fraction(98, 100) ** (n - i) for i in range(k + 1))
+        assert ok == (n > 0 and k <= 0.02 * n and tail <= Fraction(5, 100)), (k, n)
+    assert spark.range(1).select(quality.proven(F.lit(90_000).cast("bigint"), F.lit(5_000_000).cast("bigint"), 0.02, F.lit(0.05))).first()[0]
+
+
+def test_quality_guarantee(spark):
+    """Labels drawn again and again: the whole verdict's false rejection in a stratum stays within alpha, in all strata at
+    once, in at least 1 - delta of the draws (with room for chance)."""
+    rng = random.Random(1)
+    alpha, delta, draws = 0.05, 0.2, 24
+
+    def q(good):
+        symbols, upper, bangs = (max(0.0, rng.gauss(m, d)) for m, d in ((0.03, 0.03), (0.12, 0.06), (0.05, 0.1))) if good else (max(0.0, rng.gauss(m, d)) for m, d in ((0.2, 0.1), (0.4, 0.2), (0.6, 0.4)))
+        return (1000, 0, 10, 0, 5000, round(symbols * 5000), round(upper * 5000), round(bangs * 1000))
+
+    names = "n_words bigint, n_repeat_words bigint, n_lines bigint, n_dup_lines bigint, word_chars bigint, n_symbols bigint, n_upper bigint, n_bangs bigint"
+    rows = [(f"{d}:{s}", q(i % 3 > 0), (1 if i % 3 else 0) if i < 900 else None) for d in range(draws) for s in "ab" for i in range(1200)]
+    pool = spark.createDataFrame([(q(True),) for _ in range(20000)], f"_q struct<{names.replace(' bigint', ':bigint')}>").cache()
+    # each draw is a stratum of its own: levels are shared among all, so delta of all draws together is the stricter claim
+    found = quality.fit(spark.createDataFrame(rows, f"s string, _q struct<{names.replace(' bigint', ':bigint')}>, _good int"), alpha, delta * draws).collect()
+    rates = {}
+    for r in found:
+        rates[r["s"]] = pool.where(quality.first_step(F.col("_q"), F.array(*[F.lit(v).cast("bigint") for v in r["place"]])) <= r["last"]).count() / 20000
+    broken = {s.split(":")[0] for s, v in rates.items() if v > alpha}
+    assert len(broken) <= delta * draws + 3 and sum(v > 0 for v in rates.values()) > draws
+
+
+def test_quality_counts(spark, docs, texts):
+    """All counts of every text against plain Python; cutoffs are found in all strata of the tables."""
+    from framewright.llm import queries
+
+    d = "/root/testdata/sf0.1"
+    own = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 400").select("doc_id", "text").collect()}
+    out = queries.op9_quality(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").cache()
+    assert {r["lang"] for r in out.where("not kept and not base_failed").select("lang").distinct().collect()} >= {"en", "de", "fr", "es"}
+    for r in out.where("doc_id < 400").collect():
+        t = own[r["doc_id"]]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(w) < 10 or 100 * r["n_repeat_words"] > 20 * len(w))
+    judged = out.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("quality = 1 and not base_failed")
+    assert max(r["share"] for r in judged.groupBy("lang").agg(F.avg((~F.col("kept")).cast("int")).alias("share")).collect()) <= 0.02
+    out.unpersist()
 
 
 def test_packing(docs, texts):
