@@ -2,19 +2,22 @@
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, give each character of a URL a
 probability from its ORDER preceding characters; orders are interpolated by Witten-Bell weights. The difference
-of log-likelihoods, divided by the length, is compared with a threshold calibrated on accepted URLs kept from the
+of log-likelihoods, divided by the length, is compared with a threshold calibrated on accepted URLs of hosts kept from the
 counts, such that a share FALSE_BLOCKS of them at most would be blocked.
 
-URLs to learn from are labelled by `spam_label`: rejected where a word of the host is a stem of a fixed seed list
-with an ending, unclear and not learnt from where such a stem stands in it otherwise. The models generalise from
-these hosts' characters to similar ones. A gram is a character with its ORDER preceding
+URLs to learn from are labelled by two kinds of evidence. `page_label`: visible text of the page (where the table has it) that
+is dense with seed words rejects its URL, whatever its host is called; `spam_label`: so does a host that has a seed word.
+URLs that neither clearly rejects nor clears teach neither model. The models generalise from these URLs' characters to hosts
+without a seed word. A gram is a character with its ORDER preceding
 ones. Counts by exact gram are a distributed table with a row per gram of any URL, so the models grow with the
 input; shorter contexts are sums over it. A gram's log-ratio joins the URLs that hold it: the HOT commonest at most
 from a broadcast, the others by a shuffle. Log-ratios are summed as integers, so sums don't depend on row order.
-The threshold is an exact quantile over all URLs kept from the counts.
+The threshold is an exact quantile over all URLs of the hosts kept from the counts.
 
 Defined results: null urls and such without '://' have empty host and path, no rule, and are allowed. Without
-rejected URLs to learn from, everything beyond the rules is allowed. Repeated rows get equal results.
+rejected URLs to learn from, everything beyond the rules is allowed. Repeated rows get equal results; a URL whose pages
+differ counts as rejected if one of them is. A null page, where there are pages, clears no URL. URLs and pages of any length are read whole; an empty
+table gives an empty result; columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, let, prepare
 
 ORDER = 5
 FALSE_BLOCKS = 0.001
@@ -47,6 +50,12 @@ SEEDS = (
 ENDINGS = ("", "e", "y", "s", "es", "ies", "er", "ers", "ed", "ing", "ising", "izing", "mer", "mers", "ming")
 #: Stems of this length and longer make a host unclear wherever they stand in it, shorter ones at the start of a word.
 WITHIN = 3
+#: A seed stem with an ending, as a word of its own.
+CERTAIN = rf"(?<!\p{{L}})({'|'.join(SEEDS)})({'|'.join(ENDINGS)})(?!\p{{L}})"
+#: Shares of seed words in a page's visible words.
+DENSE, THIN = 0.02, 0.005
+#: One of so many hosts, by hash, is kept from the counts, with all its URLs.
+KEPT = 10
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -69,9 +78,28 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
 def spam_label(host: Column) -> Column:
     """1 where a word of the host (a run of letters) is a seed stem with an ending; null, so learnt from by neither
     model, where a stem stands in it otherwise; else 0."""
-    certain = rf"(?<!\p{{L}})({'|'.join(SEEDS)})({'|'.join(ENDINGS)})(?!\p{{L}})"
     unclear = rf"({'|'.join(s for s in SEEDS if len(s) >= WITHIN)})|(?<!\p{{L}})({'|'.join(s for s in SEEDS if len(s) < WITHIN)})"
-    return F.when(host.rlike(certain), 1).when(~host.rlike(unclear), 0)
+    return F.when(host.rlike(CERTAIN), 1).when(~host.rlike(unclear), 0)
+
+
+def page_label(html: Column) -> Column:
+    """1 where seed words (with an ending) are DENSE among a page's visible words, 0 where they are below THIN, else null, as for no page."""
+    visible = F.regexp_replace(F.lower(html), r"(?s)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+
+    def judged(t: Column) -> Column:
+        hits = F.regexp_count(t, F.lit(CERTAIN))
+        share = hits / F.greatest(F.size(F.split(t, r"\s+")), F.lit(1))
+        return F.when((hits >= 3) & (share >= DENSE), 1).when(share < THIN, 0)
+
+    return F.when(html.isNotNull(), let(visible, judged))
+
+
+def label_of(host: Column, html: Column | None) -> Column:
+    """1 where host or page is clearly rejected, 0 where both are clear, else null."""
+    by_host = spam_label(host)
+    if html is None:
+        return by_host
+    return let(page_label(html), lambda page: F.when((by_host == 1) | (page == 1), 1).when((by_host == 0) & (page == 0), 0))
 
 
 def grams(text: str) -> Counter[str]:
@@ -166,8 +194,9 @@ def judged_texts(rows: DataFrame, label: Column) -> tuple[DataFrame, float]:
     """_t, n, llr of each distinct text (column _t: host and path) of rows, and the threshold. Without labelled
     texts of both kinds all llr are 0."""
     prepare(rows.sparkSession)
-    texts = rows.select("_t", label.alias("y")).groupBy("_t").agg(F.count("*").alias("n"), F.first("y").alias("y"))
-    texts = cut(texts.withColumn("kept", F.pmod(F.crc32(F.col("_t").cast("binary")), F.lit(10)) == 0).withColumn("u", F.monotonically_increasing_id()))
+    texts = rows.select("_t", label.alias("y")).groupBy("_t").agg(F.count("*").alias("n"), F.max("y").alias("y"))
+    host = F.regexp_extract("_t", "^[^/]*", 0)
+    texts = cut(texts.withColumn("kept", F.pmod(F.crc32(host.cast("binary")), F.lit(KEPT)) == 0).withColumn("u", F.monotonically_increasing_id()))
     counts = cut(counted(texts))
     total = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("m").alias("m")).first()
     if not total["n0"] or not total["n1"]:
@@ -204,8 +233,10 @@ def judged_texts(rows: DataFrame, label: Column) -> tuple[DataFrame, float]:
 def filter_urls(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, llr (the normalised log-likelihood ratio) for every url."""
     host, path = parts(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("_t", F.concat("host", "path"))
-    texts, threshold = judged_texts(rows, spam_label(F.col("host")))
+    html = [F.col("html").alias("_h")] if "html" in pages.columns else []
+    read = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), *html).withColumn("_t", F.concat("host", "path"))
+    texts, threshold = judged_texts(read, label_of(F.col("host"), F.col("_h") if html else None))
+    rows = read.select("page_id", "host", "path", "_t")
     total = texts.agg(F.sum("n")).first()[0] or 0
     often = [r["_t"] for r in texts.where(F.col("n") > max(total / HOT_URLS, 1)).select("_t").collect()]
     # rows of a common url are dealt over SALTS keys

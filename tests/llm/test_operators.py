@@ -265,7 +265,7 @@ def test_urls_counts_are_exact(spark, monkeypatch):
 
     rng = random.Random(9)
     texts = [f"{'casino-win' if i % 6 == 0 else 'quiet' + str(i % 9)}.example.org/fr/{rng.randrange(10**7)}/{rng.randrange(10**7)}" for i in range(1500)]
-    learnt = [(t, int("casino" in t)) for t in texts if zlib.crc32(t.encode()) % 10]
+    learnt = [(t, int("casino" in t)) for t in texts if zlib.crc32(t.split("/")[0].encode()) % urls.KEPT]
     full = [[Counter() for _ in range(urls.ORDER + 1)] for _ in (0, 1)]
     for t, y in learnt:
         x = "\0" * urls.ORDER + t
@@ -321,6 +321,38 @@ def test_urls_junk_hosts(spark):
     assert all(r["rule"] is None for r in out) and all((r["verdict"] == "block") == (r["page_id"] % 18 == 0) for r in out)
 
 
+def test_urls_by_page(spark):
+    """Pages dense with seed words label hosts whose names say nothing; the models block others that look like them."""
+    rng = random.Random(13)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(3))
+    good, bad = ("ther", "ing", "on", "es", "at"), ("kx", "zq", "vv", "jx", "qy")
+    html = lambda y: "<html><script>casino casino casino</script><p class='ads'>" + " ".join(rng.choice(("casino", "bets", "the", "of") if y else ("the", "of", "and", "house")) for _ in range(60)) + "</p>"
+    rows = []
+    for h in range(90):
+        y = h % 6 == 0
+        host = word(bad if y else good) + ".example.net"
+        rows += [(len(rows) + i, f"http://{host}/en/{rng.randrange(1000)}", html(y) if h % 3 == 0 else None, int(y)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, y int")
+    unseen = spark.createDataFrame([(10_000 + i, f"http://{word(bad if i % 2 else good)}.example.net/en/{i}", None, i % 2) for i in range(60)], pages.schema)
+    out = urls.filter_urls(pages.union(unseen).drop("y")).join(pages.union(unseen).select("page_id", "y"), "page_id").where("page_id >= 10000").collect()
+    assert sum((r["verdict"] == "block") == (r["y"] == 1) for r in out) >= 57 and all(r["rule"] is None for r in out)
+
+
+def test_urls_unseen_hosts(spark, monkeypatch):
+    """On the tables, hosts whose label is hidden from training are judged by the models alone."""
+    from framewright.llm import queries
+
+    full, d = urls.label_of, "/root/testdata/sf0.1"
+    caught = total = 0
+    for h in ("casino-win", "spam-farm"):
+        monkeypatch.setattr(urls, "label_of", lambda host, html, h=h: F.when(~host.contains(h), full(host, html)))
+        out = queries.op8_urls(spark, d).where("rule is null").select("host", "verdict").collect()
+        own = [r["verdict"] == "block" for r in out if h in r["host"]]
+        caught, total = caught + sum(own), total + len(own)
+        assert not any(r["verdict"] == "block" for r in out if not re.search("casino|bets|ads-|spam|pills|adult", r["host"]))
+    assert caught >= 0.7 * total > 0
+
+
 def test_quality(spark, docs, texts):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
     for r in quality.quality_rules(docs.dropDuplicates(["doc_id"]), labels).collect():
