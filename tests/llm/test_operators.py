@@ -222,6 +222,47 @@ def test_jaccard(docs):
     assert {d: r["n_links"] for d, r in out.items()} == links and {out[d]["class_id"] for d in (60, 61, 62)} == {60}
 
 
+def test_jaccard_recall(spark):
+    """Links of all pairs of a whole table, and of pairs around the threshold, against brute force."""
+    from framewright.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    rng = random.Random(21)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    for i in range(60):  # pairs with similarities from 0.75 to 0.97
+        w = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        k = 1 + i % 6
+        rows += [(10**6 + 2 * i, " ".join(w)), (10**6 + 2 * i + 1, " ".join(x if j % (200 // k) else "changed" + x for j, x in enumerate(w)))]
+    sets, holders = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[i]:
+            holders.setdefault(g, []).append(i)
+    common = Counter((a, b) for own in holders.values() for a in own for b in own if a < b)
+    pairs = [(a, b) for (a, b), n in common.items() if n * 5 >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    links = Counter(x for p in pairs for x in p)
+    out = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[i] <= links[i] for i in sets) and sum(out.values()) >= 0.999 * 2 * len(pairs) and len(pairs) > 100
+    assert queries.op6_jaccard(spark, d).count() == len(rows) - 120
+
+
+def test_jaccard_forest():
+    """Signatures' prefixes agree as often as sets overlap, and estimates of missed links follow from that."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    hits = []
+    for _ in range(60):
+        both = rng.integers(0, 2**63, 90).astype(np.uint64)
+        sets = [np.unique(np.concatenate((both, rng.integers(0, 2**63, 5).astype(np.uint64)))) for _ in (0, 1)]
+        found = [jaccard.prefix_hashes([jaccard.signature(s) for s in sets], d) for d in (1, jaccard.DEEPEST)]
+        hits.append([(h[0] == h[1]).mean() for h in found])
+    assert np.mean(hits, 0) == pytest.approx([0.9, 0.9**jaccard.DEEPEST], abs=0.04)
+    gone, every = jaccard.missed(np.array([1.0, 0.8]), jaccard.DEEPEST)
+    assert gone[0] == 0 and every[0] == 1 and 0.001 < gone[1] < 0.01 and jaccard.prefix_length() == 5
+
+
 def test_jaccard_shared_ids(spark, tmp_path):
     """Different texts under one id or without one are all compared; the stage keeps one text of each class."""
     import corpus_pipeline
