@@ -44,7 +44,9 @@ WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEEPEST = 24, 7
 #: Bytes of a signature's value.
 VALUE = 2
-SMALL, BLOCK = 16, 256
+#: Nodes of SMALL documents are one group. Blocks of larger ones hold BLOCK documents and HELD shingles at most, by the average:
+#: what a task has in memory at once. No result depends on them.
+SMALL, BLOCK, HELD = 16, 1024, 4_000_000
 _U = np.uint64
 _M = [_U(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _rng = np.random.default_rng(17)
@@ -144,22 +146,23 @@ def once(rows: DataFrame, name: str) -> DataFrame:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row (its key), key (of the shingle set; null without words), signature."""
+    """doc_id, row (its key), key (of the shingle set; null without words), n (shingles), signature."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keys, signatures = [], []
+            keys, sizes, signatures = [], [], []
             for t in f["text"]:
                 s = shingles(t, words)
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
+                sizes.append(len(s))
                 signatures.append(signature(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "row": f["row"], "key": keys, "signature": signatures})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "row": f["row"], "key": keys, "n": sizes, "signature": signatures})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     # the id passes as text, as pandas holds bigints with nulls as floats
     return (
         rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-        .mapInPandas(batches, "doc_id string, row binary, key binary, signature binary")
+        .mapInPandas(batches, "doc_id string, row binary, key binary, n bigint, signature binary")
         .withColumn("doc_id", F.col("doc_id").cast("bigint"))
     )
 
@@ -170,17 +173,19 @@ def common_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
     values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), lengths)
     out = 0
-    for at in range(0, len(values), 1 << 15):
-        own = (inverse >= at) & (inverse < at + (1 << 15))
-        m = np.zeros((len(sets), min(1 << 15, len(values) - at)), np.float32)
+    width = max(1024, (1 << 24) // len(sets))  # 64 MB at a time
+    for at in range(0, len(values), width):
+        own = (inverse >= at) & (inverse < at + width)
+        m = np.zeros((len(sets), min(width, len(values) - at)), np.float32)
         m[owner[own], inverse[own] - at] = 1
         out = out + (m[:left] @ m[left:].T if left else m @ m.T)
     return np.rint(out).astype(np.int64)
 
 
-def verified(tree: int, sets: list[np.ndarray], here: np.ndarray, deeper: np.ndarray | None, query: np.ndarray, block: np.ndarray, across: bool, limit: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def verified(tree: int, sets: list[np.ndarray], here: np.ndarray, deeper: np.ndarray | None, query: np.ndarray, block: np.ndarray, across: bool, rank: np.ndarray, limit: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a group, with their similarities, that are similar enough. here, deeper: hashes of the prefixes of this
-    level (no earlier tree may share one) and of the next deeper one (no tree may); one of a pair must be a query."""
+    level (no earlier tree may share one) and of the next deeper one (no tree may); one of a pair must be a query. Across
+    blocks of a level that has a deeper one, the left block holds queries, and two queries meet in the order of their ranks."""
     none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     if across:
         order = np.argsort(block, kind="stable")
@@ -197,6 +202,8 @@ def verified(tree: int, sets: list[np.ndarray], here: np.ndarray, deeper: np.nda
         fits = np.triu(fits, 1)
     for t in range(tree):
         fits &= here[a, t][:, None] != here[b, t][None]
+    if across and deeper is not None:
+        fits &= (rank[a][:, None] < rank[b][None]) | ~query[b][None] & (rank[a][:, None] != rank[b][None])
     if deeper is not None:
         for t in range(TREES):
             fits &= deeper[a, t][:, None] != deeper[b, t][None]
@@ -214,21 +221,29 @@ def verified(tree: int, sets: list[np.ndarray], here: np.ndarray, deeper: np.nda
 
 def groups_at(member: DataFrame, depth: int) -> DataFrame:
     """tree, node, i, j, key, query, block: the documents of the nodes at a depth that branch there and hold a query, dealt
-    to groups. member: key, tree, path (the signature there), query."""
+    to groups. member: key, n (shingles), tree, path (the signature there), query. A node's documents go to blocks. At the
+    deepest level, where all are queries, each pair of blocks is a group; later, each block of queries with each of all."""
     node = F.substring("path", 1, VALUE * depth).alias("node")
+    count = [F.count("*").alias("m"), F.sum("n").alias("w"), F.count_if("query").alias("q")]
     if depth == DEEPEST:
-        sizes = member.groupBy("tree", node).agg(F.count("*").alias("m")).where("m > 1")
+        sizes = member.groupBy("tree", node).agg(*count).where("m > 1")
     else:
-        child = member.groupBy("tree", F.substring("path", 1, VALUE * (depth + 1)).alias("path")).agg(F.count("*").alias("c"), F.bool_or("query").alias("q"))
-        sizes = child.groupBy("tree", node).agg(F.sum("c").alias("m"), F.max("c").alias("top"), F.bool_or("q").alias("q")).where("top < m and q").select("tree", "node", "m")
-    inner = member.select("tree", node, "key", "query").join(sizes, ["tree", "node"])
+        child = member.groupBy("tree", F.substring("path", 1, VALUE * (depth + 1)).alias("path")).agg(*count)
+        sizes = child.groupBy("tree", node).agg(F.max("m").alias("top"), *[F.sum(c).alias(c) for c in "mwq"]).where("top < m and q > 0").drop("top")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / HELD)).cast("int")
+    inner = member.select("tree", node, "key", "query").join(sizes.select("tree", "node", "m", blocks.alias("n"), F.ceil(blocks * F.col("q") / F.col("m")).cast("int").alias("nq")), ["tree", "node"])
     # small nodes: equal sets of members are compared once, in their first tree
     sets = inner.where(F.col("m") <= SMALL).groupBy("tree", "node").agg(F.sort_array(F.collect_list(F.struct("key", "query"))).alias("members"))
     distinct = sets.groupBy("members").agg(F.min(F.struct("tree", "node")).alias("g"))
     small = distinct.select("g.tree", "g.node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode("members").alias("x")).select("tree", "node", "i", "j", "x.key", "x.query", F.lit(0).alias("block"))
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = inner.where(F.col("m") > SMALL).withColumn("block", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    large = large.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "query", "block")
+    large = inner.where(F.col("m") > SMALL).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    if depth == DEEPEST:
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "query", "block")
+    else:
+        own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("nq")).cast("int")
+        asked = large.where("query").withColumn("j", F.explode(F.sequence(F.col("nq"), F.col("nq") + F.col("n") - 1))).select("tree", "node", own.alias("i"), "j", "key", "query", F.lit(0).alias("block"))
+        every = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("tree", "node", "i", (F.col("nq") + F.col("block")).alias("j"), "key", "query", F.lit(1).alias("block"))
+        large = asked.unionByName(every)
     return small.unionByName(large)
 
 
@@ -244,8 +259,10 @@ def compared(dealt: DataFrame, depth: int, levels: list[int], limit: Fraction) -
             return []
         ids = [r[0] for r in rows]  # no_id, id, key
         signatures, mult = [r[1] for r in rows], np.array([r[2] for r in rows])
+        place = {k: i for i, k in enumerate(sorted({r[0][2] for r in rows}))}
+        rank = np.array([place[r[0][2]] for r in rows])
         deeper = prefix_hashes(signatures, depth + 1) if depth < DEEPEST else None
-        x, y, alike = verified(key[0], [np.frombuffer(r[3], np.uint64) for r in rows], prefix_hashes(signatures, depth), deeper, np.array([r[5] for r in rows], bool), np.array([r[4] for r in rows]), key[2] != key[3], limit)
+        x, y, alike = verified(key[0], [np.frombuffer(r[3], np.uint64) for r in rows], prefix_hashes(signatures, depth), deeper, np.array([r[5] for r in rows], bool), np.array([r[4] for r in rows]), key[2] != key[3], rank, limit)
         root = list(range(len(ids)))
 
         def find(v: int) -> int:
@@ -289,9 +306,9 @@ def links(docs: DataFrame, reps: DataFrame, words: int, threshold: float, target
     """key, node and root (no_id, id, key), n_docs, n_texts: what each group found for each of its documents."""
     least = min(prefix_length(threshold, target), DEEPEST)
     path = F.expr(f"substring(signature, tree * {VALUE * DEEPEST} + 1, {VALUE * DEEPEST})")
-    every = reps.select("key", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("key", "tree", path.alias("path"), F.substring(path, 1, VALUE * least).alias("top"))
+    every = reps.select("key", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("key", "n", "tree", path.alias("path"), F.substring(path, 1, VALUE * least).alias("top"))
     shared = every.groupBy("tree", "top").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    member = cut(every.join(shared, ["tree", "top"]).select("key", "tree", "path"))
+    member = cut(every.join(shared, ["tree", "top"]).select("key", "n", "tree", "path"))
     wanted = reps.join(member.select("key").distinct(), "key", "left_semi").select("key", "rep.no_id", "rep.id", "rep.row", "signature", "mult")
     limit = Fraction(str(threshold))
 
@@ -348,12 +365,12 @@ def classed(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     prepare(docs.sparkSession)
     own = cut(signed(docs, words))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), "row"))
-    reps = cut(own.where("key is not null").groupBy("key").agg(rep.alias("rep"), F.count("*").alias("mult"), F.first("signature").alias("signature")))
+    reps = cut(own.where("key is not null").groupBy("key").agg(rep.alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     found = links(docs, reps, words, threshold, target)
     classes = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node.key", "label")
     counts = found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
     label = F.coalesce("label", F.struct("rep.no_id", "rep.id", "key"))
-    return own.select("doc_id", "row", "key"), reps.drop("signature").join(counts, "key", "left").join(classes, "key", "left").withColumn("label", label)
+    return own.select("doc_id", "row", "key"), reps.drop("signature", "n").join(counts, "key", "left").join(classes, "key", "left").withColumn("label", label)
 
 
 def firsts(docs: DataFrame) -> DataFrame:

@@ -247,6 +247,27 @@ def test_jaccard_recall(spark):
     assert queries.op6_jaccard(spark, d).count() == len(rows) - 120
 
 
+def test_jaccard_blocks(spark, monkeypatch):
+    """Small blocks, so that nodes are dealt to many groups, change nothing; nor do long texts."""
+    rng = random.Random(22)
+    rows = []
+    for c in range(3):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        for i in range(40):
+            own = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    long = " ".join(f"u{i}" for i in range(30_000))
+    docs = spark.createDataFrame([*rows, (900, long), (901, long + " more")], "doc_id bigint, text string")
+    want = sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect())
+    assert max(r[3] for r in want) > 10 and want[-1][3] == 1
+    for size in (("SMALL", 3, "BLOCK", 8), ("SMALL", 2, "HELD", 1000)):
+        monkeypatch.setattr(jaccard, size[0], size[1])
+        monkeypatch.setattr(jaccard, size[2], size[3])
+        assert sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == want
+
+
 def test_jaccard_forest():
     """Signatures' prefixes agree as often as sets overlap, and estimates of missed links follow from that."""
     import numpy as np
