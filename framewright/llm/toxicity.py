@@ -152,12 +152,16 @@ class Table:
                 break
         self.slots = np.zeros(1 << 22, np.int32)
         self.slots[at] = np.arange(len(self.keys))
+        self.some = np.zeros(1 << 18, bool)  # a small table, that caches hold, rules most subsequences out
+        self.some[at >> np.uint64(4)] = True
 
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, columns and key numbers where a unit's subsequence is one of a landmark."""
-        found = self.slots[(code * self.factor) >> np.uint64(42)]
-        rows, cols = np.nonzero(self.keys[found] == code)
-        return rows, cols, found[rows, cols]
+        hashed = code * self.factor
+        rows, cols = np.nonzero(self.some[hashed >> np.uint64(46)])
+        found = self.slots[hashed[rows, cols] >> np.uint64(42)]
+        own = self.keys[found] == code[rows, cols]
+        return rows[own], cols[own], found[own]
 
 
 @dataclass

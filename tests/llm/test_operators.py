@@ -552,3 +552,149 @@ def test_pipeline_stages_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), "").count() == 0
         stage(spark, nulls, "").collect()
+
+
+def documents(spark, sf="sf0.01"):
+    d = f"/root/testdata/{sf}"
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}, d
+
+
+def test_secrets_table(spark):
+    """Base spans of a whole table against the contract's patterns, applied plainly."""
+    from framewright.llm import queries
+
+    texts, d = documents(spark)
+    kinds = (("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", r"(AKIA[A-Z0-9]+)", 0, 20), ("hex", r"([0-9a-f]+)", 0, 24))
+    found = 0
+    for r in queries.op1_secrets(spark, d).collect():
+        t = texts[r["doc_id"]]
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, _, least) in enumerate(kinds) for m in re.finditer(p, t) if len(m.group(1)) >= least)
+        text = ",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in spans)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) - {""} <= set(r["spans"].split(","))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+        found += len(spans)
+    assert found > 20
+
+
+def test_secrets_method():
+    """Recall and precision of the lexer on drawn configuration in several syntaxes, without base kinds."""
+    rng = random.Random(31)
+    raw = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(n))
+    forms = ('{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "export {n}={v}", "<{n}>{v}</{n}>", 'set({n}="{v}")', "{n} := `{v}`", "{n} -> '{v}'")
+    names = ("signing_key", "DB_PASSPHRASE", "authCredential", "private-salt", "bearerAuth", "encryptionKey")
+    plain = ("title", "userName", "max_retries", "color", "public_id", "file_path")
+    hits = wrong = 0
+    for i in range(400):
+        secret, form = i % 2 == 0, forms[i % len(forms)]
+        v = raw(rng.randrange(20, 40))
+        text = f"# note {i}\n" + form.format(n=rng.choice(names if secret else plain), v=v) + "\nplain words follow: and more\n"
+        got = v in [text[s:e] for s, k, e in secrets.scan(text)[1] if k == 3]
+        hits, wrong = hits + (got and secret), wrong + (got and not secret)
+    assert hits >= 0.9 * 200 and wrong <= 0.02 * 200
+
+
+def test_pii_table(spark):
+    """Base spans of a whole table against the contract's patterns, applied plainly; redaction against plain Python."""
+    from framewright.llm import queries
+
+    texts, d = documents(spark)
+
+    def luhn(x):
+        n = [int(c) for c in x[::-1]]
+        return sum(n[::2] + [sum(divmod(2 * v, 10)) for v in n[1::2]]) % 10 == 0
+
+    digits = lambda x: re.sub(r"[^0-9]", "", x)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(v) <= 255 for v in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 16 <= len(digits(x)) <= 19 and luhn(digits(x))), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(digits(x)) <= 15),
+    }
+    found, spans = 0, {}
+    for r in queries.op5_pii(spark, d).collect():
+        t = texts[r["doc_id"]]
+        own = {k: [m.span() for m in re.finditer(p, t) if ok(m.group())] for k, (p, ok) in kinds.items()}
+        text = ",".join(f"{k}:{s}:{e}" for k, v in own.items() for s, e in v)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and [r[f"n_{k}"] for k in kinds] == [len(v) for v in own.values()]
+        assert r["spans"].startswith(text)
+        found += sum(map(len, own.values()))
+        spans[r["doc_id"]] = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in r["spans"].split(",") if x)
+    assert found > 20
+    for r in pii.redact(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "text").collect():
+        out, at, t = "", 0, texts[r["doc_id"]]
+        for s, e, k in spans[r["doc_id"]]:
+            if s >= at:
+                out += t[at:s] + f"[{k.upper()}]"
+            at = max(at, e)
+        assert r["text"] == out + t[at:]
+
+
+def test_pii_overlaps(spark):
+    """Candidates that overlap base spans go, wherever the base span starts."""
+    base = [(10, 20), (30, 40), (12, 14)]
+    picked = [(0, 5), (5, 10), (8, 11), (19, 22), (20, 30), (29, 31), (40, 45), (11, 13), (0, 100)]
+    struct = lambda xs: F.array(*[F.struct(F.lit(4).alias("k"), F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in xs])
+    got = spark.range(1).select(pii.free_of(struct(picked), struct(base)).alias("x")).first()["x"]
+    assert [(r["s"], r["e"]) for r in got] == sorted(p for p in picked if not any(s < p[1] and e > p[0] for s, e in base))
+
+
+def test_pii_held_out(spark):
+    """The trees and thresholds on candidates drawn anew, which they never saw."""
+    model, thresholds = pii.trained(spark)
+    rows = spark.createDataFrame(pii.examples(1200, seed=99), "g string, t string, l string, r string, y int")
+    hit = right = total = 0
+    for kind in pii.GENERATORS:
+        x = pii.features(kind, F.struct("t", "l", "r"))
+        for r in rows.where(F.col("g") == kind).select("y", *[x[k].alias(k) for k in pii.NAMES]).collect():
+            picked = pii.predicted(model, tuple(r[k] for k in pii.NAMES)) >= thresholds[kind]
+            hit, right, total = hit + picked, right + (picked and r["y"]), total + r["y"]
+    assert right / hit > 0.95 and right / total > 0.7
+
+
+def test_packing_table(spark):
+    """Ids, starts and checksums of whole texts, and gapless offsets, against the tokenizer."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from framewright.llm import queries
+
+    texts, d = documents(spark, "sf0.001")
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    rows = queries.op10_packing(spark, d).collect()
+    want = {}
+    for i, x in texts.items():
+        ids = [*(t.encode(x, add_special_tokens=False).ids if x else []), 1]
+        for p in range(0, len(ids), 4096):
+            own = ids[p : p + 4096]
+            want[i, p // 4096] = (p, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 4096 for v in bins.values())
+    assert len(bins) <= -(-sum(r["length"] for r in rows) // 4096) * 1.02 + 1
+
+
+CLASH = ["score", "lang_pred", "held_out", "predicted", "_text", "_base", "_picked", "_added", "_q", "s", "row", "key", "_t", "_h", "_r", "_s", "host", "spans", "n_copies", "copy", "fingerprint", "_bucket", "_own", "piece", "length", "kept", "toxic", "quality", "c0", "h"]
+
+
+@pytest.mark.parametrize("name", ["secrets", "fingerprints", "language", "toxicity", "pii", "jaccard", "quality", "packing", "urls"])
+def test_odd_tables(spark, name):
+    """Columns named like an operator's own are ignored; a text of megabytes, repeated rows, nulls and ties get results."""
+    from framewright.llm.queries import tokenizer_path
+
+    big = " ".join(f"word{i % 5000} and more" for i in range(120_000))
+    rows = [(1, big, "en", "s", 1), (1, big, "en", "s", 1), (2, "", "de", None, 0), (None, None, None, None, None), (4, "x" * 1_500_000, "en", "s", 1), (5, "the river house is quiet", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, None, None)], "doc_id bigint, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://a.example.org/" + "p" * 100_000, "<p>x"), (1, None, None), (None, "casino.example.net", "")], "page_id bigint, url string, html string")
+    for i, c in enumerate(CLASH):
+        docs, labels, pages = (x if c in x.columns else x.withColumn(c, F.lit(i)) for x in (docs, labels, pages))
+    run = {
+        "secrets": lambda: secrets.find_secrets(docs), "fingerprints": lambda: fingerprints.fingerprints(docs), "language": lambda: language.identify(docs), "toxicity": lambda: toxicity.score(docs, labels), "pii": lambda: pii.detect(docs),
+        "jaccard": lambda: jaccard.near_duplicates(docs), "quality": lambda: quality.quality_rules(docs, labels), "packing": lambda: packing.pack(docs, tokenizer_path()).where("piece = 0"), "urls": lambda: urls.filter_urls(pages),
+    }
+    out = [tuple(r) for r in run[name]().collect()]
+    assert len(out) == (3 if name == "urls" else 6)
+    if name not in ("urls", "packing"):
+        assert len({r for r in out if r[0] == 1}) == 1 or name == "fingerprints"
