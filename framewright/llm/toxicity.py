@@ -64,8 +64,8 @@ def bare(word: str) -> str:
 
 
 def words_of(text: str | None, seams: frozenset[str] = frozenset()) -> set[str]:
-    """Distinct lower-case words without outer punctuation, and the words that the text hides. seams: parts of landmarks that
-    make neighbours one word where they cross from one into the other."""
+    """Distinct lower-case words without outer punctuation, and the words that the text hides. seams: parts of landmarks, of
+    two and four characters, that make neighbours one word where they cross from one into the other."""
     words = [w.strip(EDGES) for w in (text or "").lower().split()]
     out = set(words)
     if any(len(w) == 1 for w in out):
@@ -79,7 +79,7 @@ def words_of(text: str | None, seams: frozenset[str] = frozenset()) -> set[str]:
                 run = []
     if seams:
         for a, b in zip(words, words[1:]):  # noqa: B905
-            if len(a) + len(b) <= WINDOW and a and b:
+            if a and b and a[-1] + b[0] in seams and len(a) + len(b) <= WINDOW:
                 s = a[-3:] + b[:3]
                 k = min(3, len(a))
                 for i in range(max(0, k - 3), min(k, len(s) - 3)):
@@ -173,7 +173,7 @@ class Kernel:
 
     def __post_init__(self):
         self.table = Table(codes([m[:WINDOW] for m in self.landmarks]))
-        self.seams = frozenset(m[i : i + 4] for m in self.landmarks for i in range(len(m) - 3))
+        self.seams = frozenset(m[i : i + k] for m in self.landmarks for k in (2, 4) for i in range(len(m) - k + 1))
 
     def similarities(self, units: list[str], faint: float = 0.0) -> np.ndarray:
         """Units that can't reach `faint` with any landmark stay 0; the bound takes each subsequence's largest value."""
