@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,22 +128,22 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     prepare(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words(path)
-        for f in frames:
-            for at in range(0, len(f), 200):
-                part = f.iloc[at : at + 200]
+        for b in found:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 rows = []
-                for doc_id, ids in zip(part["doc_id"], token_bytes(known, list(part["text"])), strict=True):
+                for d, ids in enumerate(token_bytes(known, part.column(1).to_pylist())):
                     ids += end
                     for i in range(0, len(ids), 4 * length):
                         own = ids[i : i + 4 * length]
-                        rows.append((doc_id, i // (4 * length), i // 4, len(own) // 4, zlib.crc32(own)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((d, i // (4 * length), i // 4, len(own) // 4, zlib.crc32(own)))
+                d, piece, *rest = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(piece, pa.int32()), *[pa.array(v, pa.int64()) for v in rest]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    # the id passes as text, as pandas holds bigints with nulls as floats
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(batches, PIECES.replace("doc_id bigint", "doc_id string"))
-    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    # ids pass as Arrow buffers, unchanged
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(batches, PIECES)
 
 
 def patterns(h: np.ndarray, each: int = 6) -> list[tuple[int, ...]]:
@@ -267,15 +267,18 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     before = np.cumsum(first, 1) - first
     model = spark.sparkContext.broadcast((before, placements(plan(histogram, length))))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, places = model.value
         at = (-1, -1)
         rank = 0
-        for f in frames:
-            k, s = f["length"].to_numpy(), f["_salt"].to_numpy()
-            seq, off = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
+        for f in found:
+            n = f.num_rows
+            if not n:
+                continue
+            k, s = (f.column(c).to_numpy() for c in ("length", "_salt"))
+            seq, off = np.zeros(n, np.int64), np.zeros(n, np.int64)
             edges = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (np.diff(s, prepend=-1) != 0))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(f)], strict=True):
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), n], strict=True):
                 if (k[a], s[a]) != at:
                     at, rank = (k[a], s[a]), int(start[k[a], s[a]])
                 r = rank + np.arange(b - a)
@@ -284,9 +287,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 i = r - row[:, 0]
                 seq[a:b], off[a:b] = row[:, 2] + i // row[:, 1], row[:, 3] + i % row[:, 1] * k[a]
                 rank += b - a
-            yield f[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=seq, offset=off)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in names], pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     dealt = own.repartition("length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece", "ids_crc32", "start")
-    named = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
-    placed = named.mapInPandas(batches, PIECES.replace("doc_id bigint", "doc_id string") + ", sequence_id bigint, offset bigint")
-    return placed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return dealt.mapInArrow(batches, PIECES + ", sequence_id bigint, offset bigint")
