@@ -131,8 +131,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words(path)
         for b in found:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 rows = []
                 for d, ids in enumerate(token_bytes(known, part.column(1).to_pylist())):
                     ids += end
