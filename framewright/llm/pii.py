@@ -1,9 +1,11 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Base detectors (e-mail, IP, card, phone) find what fixed formats prove. Beside them high-recall generators
-propose overlapping candidates (written-out addresses, digit groups, colon groups, account codes). Boosted
-trees score each from its format and the words around it, and a calibrated threshold per generator selects
-those to redact. Candidates stay in their document's row as an array of structs, so scoring needs no shuffle.
+propose overlapping candidates (written-out addresses, digit groups, colon groups, account codes), at every start
+and with every end that their format allows. Boosted trees score each from its format and the words around it, and a
+calibrated threshold per generator selects those to redact: all that reach it, also where they overlap each other or
+reach beyond a base span; only those that a base span holds whole are left to it. Candidates stay in their document's
+row as an array of structs, so scoring needs no shuffle.
 
 The trees are trained here, on labelled candidates that `examples` draws from templates (the tables have no
 labels for personal data): true ones in telling contexts, look-alikes in others.
@@ -37,12 +39,13 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
-#: Generators of candidates: kind -> pattern, and a cheap test that must hold for any match.
+#: Generators of candidates: kind -> what stands before, the format, what stands after, a cheap test that must hold for
+#: any match, and where in a match a shorter one may end (None: nowhere).
 GENERATORS = {
-    "contact": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({<]? ?(?:at|AT|@) ?[\])}>]? ?[A-Za-z0-9-]{1,63}(?: ?[\[({<]? ?(?:dot|DOT|\.) ?[\])}>]? ?[A-Za-z0-9-]{2,63}){1,4}+", r"(?:dot|DOT|@)"),
-    "number": (r"(?<![0-9A-Za-z])[0-9](?:[ ().-]{0,2}+[0-9]){6,18}+(?![0-9A-Za-z])", r"[0-9][ ().-]{0,2}[0-9][ ().-]{0,2}[0-9]"),
-    "address": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{1,4}:"),
-    "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
+    "contact": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]{1,64}+ ?[\[({<]? ?(?:at|AT|@) ?[\])}>]? ?[A-Za-z0-9-]{1,63}(?: ?[\[({<]? ?(?:dot|DOT|\.) ?[\])}>]? ?[A-Za-z0-9-]{2,63}){1,4}", "", r"(?:at|AT|@) ?[\])}>]? ?[A-Za-z0-9-]{1,63} ?[\[({<]? ?(?:dot|DOT|\.)", r"(?<=[A-Za-z0-9-])(?=[^A-Za-z0-9-])"),
+    "number": (r"(?<![0-9A-Za-z])", r"[0-9](?:[ ().-]{0,2}+[0-9]){6,18}", r"(?![0-9A-Za-z])", r"[0-9][ ().-]{0,2}[0-9][ ().-]{0,2}[0-9]", r"(?<=[0-9])(?=[^0-9])"),
+    "address": (r"(?<![0-9A-Za-z:])", r"(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+", r"(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{1,4}:", None),
+    "account": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}", r"(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", r"(?<=[A-Z0-9])(?= )"),
 }
 LEFT, RIGHT = 28, 14
 
@@ -92,6 +95,50 @@ def located(text: Column, pattern: str) -> Column:
     return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), placed)
 
 
+#: Code points of the blocks that texts are cut into, so that a piece is taken from near its place.
+PAGE = 1024
+
+
+def paged(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def between(pages: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, from its pages."""
+    i, j = (F.floor(x / PAGE).cast("int") for x in (start, end))
+    first, last = (lambda x: F.coalesce(F.get(pages, x), F.lit("")))(i), (lambda x: F.coalesce(F.get(pages, x), F.lit("")))(j)
+    across = F.concat(F.substring(first, start % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), end % PAGE))
+    return F.when(i == j, F.substring(first, start % PAGE + 1, end - start)).otherwise(across)
+
+
+def proposed(text: Column, kind: str, good) -> Column:
+    """The candidates that are good, as structs s, e. One may start inside another, and each has all its ends."""
+    before, form, after, _, stop = GENERATORS[kind]
+    start = f"{before}(?=({form}){after})"
+    marked = F.concat(F.lit("\n"), text)  # split drops what is before a match without length at 0
+
+    def ends(t: Column) -> Column:
+        if stop is None:
+            return F.array(t)
+        return let(F.split(t, stop, -1), lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.size(p)), lambda j: F.array_join(F.slice(p, 1, j), "")), lambda u: u.rlike(f"^(?:{form})$")))
+
+    def placed(x: Column) -> Column:
+        def one(t: Column, s: Column) -> Column:
+            left = between(x["pages"], F.greatest(s - LEFT, F.lit(0)), s)
+            around = lambda e: between(x["pages"], e, F.least(e + RIGHT, x["n"]))
+            every = F.transform(ends(t), lambda u: F.struct(s.alias("s"), (s + F.length(u)).alias("e"), u.alias("t")))
+            full = let(left, lambda l: F.transform(every, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["t"].alias("t"), l.alias("l"), around(c["e"]).alias("r"))))
+            return F.transform(F.filter(full, good), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+
+        return F.flatten(F.transform(x["m"], lambda t, i: let(F.get(x["starts"], i + 1) - 1, lambda s: one(t, s))))
+
+    def pieced(m: Column) -> Column:
+        starts = cumulated(F.transform(F.split(marked, start, -1), F.length))
+        return F.when(F.size(m) == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(let(F.struct(m.alias("m"), starts.alias("starts"), paged(text).alias("pages"), F.length(text).alias("n")), placed))
+
+    return let(F.regexp_extract_all(marked, F.lit(start), F.lit(1)), pieced)
+
+
 NONE = "array<struct<s:int,e:int,t:string,l:string,r:string>>"
 
 
@@ -274,15 +321,19 @@ SPAN = "array<struct<k:int,s:int,e:int>>"
 FAR = 2**31 - 1
 
 
-def free_of(picked: Column, base: Column) -> Column:
-    """The picked spans that overlap no base span. All spans are sorted by start: a span overlaps an earlier one where
-    the greatest base end so far is beyond its start, and a later one where the next base start is before its end."""
-    tagged = lambda spans, own: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.lit(own).alias("own")))
+def free_of(picked: Column, base: Column, whole: bool = False) -> Column:
+    """The picked spans that overlap no base span; with whole, those that no base span holds whole. All spans are sorted
+    by start, base ones first: a span overlaps an earlier one where the greatest base end so far is beyond its start (is
+    in it where that end isn't before its own), and a later one where the next base start is before its end."""
+    tagged = lambda spans, own: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(not own).alias("picked"), x["e"].alias("e"), x["k"].alias("k")))
 
     def kept(every: Column) -> Column:
-        ends = scanned(F.transform(every, lambda x: F.when(x["own"], x["e"]).otherwise(0)), 0, F.greatest)
-        starts = F.reverse(scanned(F.reverse(F.transform(every, lambda x: F.when(x["own"], x["s"]).otherwise(FAR))), FAR, F.least))
-        seen = let(F.struct(ends.alias("ends"), starts.alias("starts")), lambda b: F.filter(every, lambda x, i: ~x["own"] & (F.get(b["ends"], i) <= x["s"]) & (F.get(b["starts"], i) >= x["e"])))
+        ends = scanned(F.transform(every, lambda x: F.when(x["picked"], 0).otherwise(x["e"])), 0, F.greatest)
+        if whole:
+            seen = let(ends, lambda b: F.filter(every, lambda x, i: x["picked"] & (F.get(b, i) < x["e"])))
+        else:
+            starts = F.reverse(scanned(F.reverse(F.transform(every, lambda x: F.when(x["picked"], FAR).otherwise(x["s"]))), FAR, F.least))
+            seen = let(F.struct(ends.alias("ends"), starts.alias("starts")), lambda b: F.filter(every, lambda x, i: x["picked"] & (F.get(b["ends"], i) <= x["s"]) & (F.get(b["starts"], i) >= x["e"])))
         return F.sort_array(F.transform(seen, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
 
     return F.when((F.size(picked) == 0) | (F.size(base) == 0), picked).otherwise(let(F.sort_array(F.concat(tagged(base, True), tagged(picked, False))), kept))
@@ -296,15 +347,15 @@ def found_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = lambda kind, spans: F.transform(spans, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     docs = docs.withColumn("_base", F.concat(*[plain(k, v) for k, v in base.items()]))
 
-    def selected(kind: str, pattern: str, hint: str) -> Column:
+    def selected(kind: str) -> Column:
         def good(c: Column) -> Column:
             x = F.struct(*[v.alias(k) for k, v in features(kind, c).items()])
             return let(x, lambda v: score(model, v)) >= thresholds[kind]
 
-        return F.when(t.rlike(hint), plain(kind, F.filter(located(t, pattern), good))).otherwise(F.array().cast(SPAN))
+        return F.when(t.rlike(GENERATORS[kind][3]), plain(kind, proposed(t, kind, good))).otherwise(F.array().cast(SPAN))
 
-    docs = docs.withColumn("_picked", F.concat(*[selected(kind, *how) for kind, how in GENERATORS.items()]))
-    return docs.withColumn("_added", free_of(F.col("_picked"), F.col("_base"))).drop("_picked")
+    docs = docs.withColumn("_picked", F.concat(*[selected(kind) for kind in GENERATORS]))
+    return docs.withColumn("_added", free_of(F.col("_picked"), F.col("_base"), whole=True)).drop("_picked")
 
 
 def joined(spans: Column) -> Column:
@@ -319,18 +370,6 @@ def detect(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in KINDS[:4]], F.sha2(joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("_base", "_added")).alias("spans"))
 
 
-#: Code points of the blocks that texts are cut into, so that a piece is taken from near its place.
-PAGE = 1024
-
-
-def between(pages: Column, start: Column, end: Column) -> Column:
-    """The text from start to end, from its pages."""
-    i, j = (F.floor(x / PAGE).cast("int") for x in (start, end))
-    first, last = (lambda x: F.coalesce(F.get(pages, x), F.lit("")))(i), (lambda x: F.coalesce(F.get(pages, x), F.lit("")))(j)
-    across = F.concat(F.substring(first, start % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), end % PAGE))
-    return F.when(i == j, F.substring(first, start % PAGE + 1, end - start)).otherwise(across)
-
-
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; overlapping spans become one, of the first's kind.
     The work is linear in the text and n log n in its spans."""
@@ -343,13 +382,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def replaced(spans: Column) -> Column:
         reach = scanned(F.transform(spans, lambda x: x["e"]), 0, F.greatest)  # where all spans before end
         heads = let(reach, lambda r: F.filter(F.transform(spans, lambda x, i: F.struct(F.get(r, i).alias("m"), x["s"].alias("s"), x["k"].alias("k"))), lambda h: h["s"] >= h["m"]))
-        pages = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
 
         def pieces(p: Column) -> Column:
             end = F.array_max(F.transform(spans, lambda x: x["e"]))
             return F.concat(F.array_join(F.transform(heads, lambda h: F.concat(between(p, h["m"], h["s"]), F.get(names, h["k"]))), ""), between(p, end, F.length(t)))
 
-        return let(pages, pieces)
+        return let(paged(t), pieces)
 
     whole = F.when(F.size("_base") + F.size("_added") == 0, t).otherwise(let(by_start, replaced))
     return found_spans(docs, text).withColumn("_text", whole).select(*[F.col("_text" if c == text else c).alias(name) for c, name in zip(docs.columns, kept, strict=True)])

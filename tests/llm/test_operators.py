@@ -636,6 +636,44 @@ def test_pii_overlaps(spark):
     assert [(r["s"], r["e"]) for r in got] == sorted(p for p in picked if not any(s < p[1] and e > p[0] for s, e in base))
 
 
+def test_pii_selected(spark):
+    """Every candidate that meets its threshold is listed, or in a base span: against all stretches of text of the form, scored plainly."""
+    label = r"[A-Za-z0-9-]"
+    forms = {  # what isn't before, the form, what isn't after
+        "contact": (r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]{1,64} ?[\[({<]? ?(at|AT|@) ?[\])}>]? ?" + label + r"{1,63}( ?[\[({<]? ?(dot|DOT|\.) ?[\])}>]? ?" + label + "{2,63}){1,4}", label),
+        "number": (r"[0-9A-Za-z]", r"[0-9]([ ().-]{0,2}[0-9]){6,18}", r"[0-9A-Za-z]"), "account": (r"[A-Za-z0-9]", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){3,7}", r"[A-Za-z0-9]"),
+    }
+    texts = [
+        "write to bob@mail.example dot com now", "call me on 555-123-4567 555-987-6543 555-222-1111 today", "phone 555-123-4567 2nd floor", "é \U0001f600 call +1 (826) 555-4081 190.137.223.204 ok", "call +1 (743) 555-3824 now",
+        "reach me at bob [at] mail.com. Thanks a lot", "IBAN AT61 1904 3002 3457 3201 WORDS here", "555-123-4567", "x" * 1010 + " tel: 555-123-4567, 555-987-6543 " + "y " * 600, "it at orth. mail me: kim at mail dot com", "a.b@c.example.com card 4465 7583 8288 9437",
+    ]
+    rows, base = [], {}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    listed = {r["doc_id"]: [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.detect(docs).collect()}
+    for i, t in enumerate(texts):
+        base[i] = [x for x in listed[i] if x[0] in pii.KINDS[:4]]
+        for k, (before, form, after) in forms.items():
+            for s in range(len(t)):
+                for e in range(s + 7, min(len(t), s + 60) + 1):
+                    if not re.fullmatch(before, t[s - 1 : s] if s else "") and not re.fullmatch(after, t[e : e + 1]) and re.fullmatch(form, t[s:e]):
+                        rows.append((i, k, s, e, t[s:e], t[max(0, s - pii.LEFT) : s], t[e : e + pii.RIGHT]))
+    model, thresholds = pii.trained(spark)
+    table = spark.createDataFrame(rows, "i int, g string, s int, e int, t string, l string, r string").coalesce(1)
+    found = {i: [] for i in range(len(texts))}
+    for k in forms:
+        x = pii.features(k, F.struct("t", "l", "r"))
+        for r in table.where(F.col("g") == k).select("i", "s", "e", *[x[n].alias(n) for n in pii.NAMES]).collect():
+            if pii.predicted(model, tuple(r[n] for n in pii.NAMES)) >= thresholds[k] and not any(s <= r["s"] and r["e"] <= e for _, s, e in base[r["i"]]):
+                found[r["i"]].append((k, r["s"], r["e"]))
+    for i in found:
+        assert [x for x in listed[i] if x not in base[i]] == sorted(found[i], key=lambda x: (pii.KINDS.index(x[0]), *x[1:])), texts[i]
+    own = {i: {texts[i][s:e] for _, s, e in x} for i, x in found.items()}
+    assert "bob@mail.example dot com" in own[0] and {"555-123-4567", "555-987-6543", "555-222-1111"} <= own[1] and "555-123-4567" in own[2] and "1 (826) 555-4081" in own[3] and not own[4]
+    assert "bob [at] mail.com" in own[5] and "AT61 1904 3002 3457 3201" in own[6] and own[8] == {"555-123-4567", "555-987-6543"} and not own[10]
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert redacted[0] == "write to [EMAIL] now" and redacted[1] == "call me on [NUMBER] today" and redacted[2] == "phone [NUMBER] 2nd floor" and redacted[10] == "[EMAIL] card [CARD]"
+
+
 def test_pii_held_out(spark):
     """The trees and thresholds on candidates drawn anew, which they never saw."""
     model, thresholds = pii.trained(spark)
