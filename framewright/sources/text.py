@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.cells import kind, text_of
 from ..operators.frame import Frame
-from ..plans.ordering import IDX, ORD
-from ..session import session
+from ..plans.ordering import IDX, ORD, ROW_BITS
+from ..session import session, stored
 
 #: Texts that count as missing, in any case.
 NA = ("", "NaN", "NA", "null", "None")
@@ -61,23 +61,63 @@ def shape_of(path: str, sep: str, spark: SparkSession) -> tuple[int, bool]:
     return max(1, whole.where("_c0 is not null or _whole is not null").agg(F.max(F.coalesce(cells(F.col("_whole")), F.lit(1)))).first()[0] or 0), True
 
 
+#: Bits of a row's place within its file, below its file's number.
+FILE_BITS = 40
+
+
+def file_rows(sdf: DataFrame) -> DataFrame:
+    """Rows of text files with the file, the place where their split begins, and an ordinal that follows each file."""
+    return sdf.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn(ORD, F.monotonically_increasing_id())
+
+
+def by_file(sdf: DataFrame, files: list[tuple[str, int | None]]) -> DataFrame:
+    """file_rows in the order of the given files, without the row that is named beside a file. Spark deals files out by size.
+    A place is its split's first byte and the row's number in the task: splits other than a file's last have tasks of
+    their own, and no more rows than bytes."""
+    ranks = sdf.sparkSession.createDataFrame([(f, k, at) for k, (f, at) in enumerate(files)], "__file string, __rank bigint, __at bigint")
+    kept = sdf.join(F.broadcast(ranks), "__file").where(F.col("__at").isNull() | (F.col(ORD) != F.col("__at")))
+    place = F.col("__block") + F.col(ORD).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return kept.withColumn(ORD, F.shiftleft("__rank", FILE_BITS) + place).drop("__file", "__block", "__rank", "__at")
+
+
 def read_csv(path: str, sep: str = ",", header: bool = True, names: list[str] | None = None, index_col: str | int | None = None, na_values: list[str] | None = None, multiline: bool | None = None, spark: SparkSession | None = None) -> Frame:
     """Files as text columns, then one type per column. Rows longer than the header add columns `col_N`. Large files are
-    split among tasks unless a quoted cell holds line ends (multiline, found out where it is None)."""
+    split among tasks unless a quoted cell holds line ends (multiline, found out where it is None). A folder's files follow
+    each other by name, and a first row that repeats the header of the first file is a header."""
     spark = spark or session()
     width, found = shape_of(path, sep, spark)
     wide = [f"_c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in wide])
-    sdf = spark.read.csv(path, schema=schema, sep=sep, multiLine=found if multiline is None else multiline, header=False, mode="PERMISSIVE", **QUOTED)
-    sdf = sdf.withColumn(ORD, F.monotonically_increasing_id())
-    sdf = sdf.where(F.greatest(F.lit(0), *[F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in wide]) > 0) if wide else sdf
-    first = sdf.orderBy(ORD).limit(1).collect()
-    head = [v for v in first[0][: len(wide)]] if first else []
-    while head and head[-1] is None:
-        head.pop()
-    if header and first:
-        sdf = sdf.where(F.col(ORD) != first[0][ORD])
-    own = list(names or ([(h or "").lstrip("\ufeff").strip() or f"col_{i}" for i, h in enumerate(head)] if header else [f"col_{i}" for i in range(len(head))]))
+    read = lambda skip: file_rows(spark.read.csv(path, schema=schema, sep=sep, multiLine=found if multiline is None else multiline, header=skip, mode="PERMISSIVE", **QUOTED))
+    filled = F.greatest(F.lit(0), F.lit(0), *[F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in wide]) > 0
+
+    def first_rows(sdf: DataFrame) -> list:
+        """A row a file: where its rows begin and where those with cells do, and the first of these."""
+        own = F.when(filled, F.col(ORD))
+        found = sdf.groupBy("__file").agg(F.min(ORD).alias("begin"), F.min(own).alias("at"), F.min_by(F.array(*wide), own).alias("row")).where("at is not null").collect() if wide else []
+        return sorted(found, key=lambda r: r["__file"])
+
+    def cells(row: list) -> list[str]:
+        last = max((i for i, v in enumerate(row) if v is not None), default=-1)
+        return [(v or "").lstrip("\ufeff").strip() for v in row[: last + 1]]
+
+    sdf = read(False)
+    files = first_rows(sdf)
+    head = cells(files[0]["row"]) if files else []
+    is_head = lambda r: header and cells(r["row"]) == head
+    if len(files) > 1:
+        if header and all(is_head(r) and r["begin"] == r["at"] for r in files):
+            sdf = by_file(read(True), [(r["__file"], None) for r in files])
+        else:
+            if header:  # splits may be cut anew at every reading, so the rows are numbered once
+                sdf = stored(sdf, "lines")
+                files = first_rows(sdf)
+            sdf = by_file(sdf, [(r["__file"], r["at"] if is_head(r) else None) for r in files])
+    else:
+        sdf = sdf.drop("__file", "__block")
+        sdf = sdf.where(F.col(ORD) != files[0]["at"]) if header and files else sdf
+    sdf = sdf.where(filled) if wide else sdf
+    own = list(names or ([h or f"col_{i}" for i, h in enumerate(head)] if header else [f"col_{i}" for i in range(len(head))]))
     columns = own + [f"col_{i}" for i in range(len(own), width)]
     out = sdf.select(*[(F.col(f"_c{i}") if i < width else F.lit(None).cast("string")).alias(n) for i, n in enumerate(columns)], ORD)
     return with_index(Frame(typed(out, columns, na_values), columns, False, [F.col(ORD)]), index_col)

@@ -194,3 +194,19 @@ def test_sources(spark, tmp_path):
     g.to_excel(str(tmp_path / "b.xlsx"), sheet_name="S")
     assert fw.read_excel(str(tmp_path / "b.xlsx"), sheet_name="S").get("b").to_list() == ["x, y", "l1\nl2", "z"]
     assert fw.parse_tsv("id\tv\n1\tx\n").to_records() == [{"id": 1, "v": "x"}]
+
+
+def test_csv_folder(spark, tmp_path):
+    """Each part has its header; rows follow the files' names, though Spark reads the largest first."""
+    rows = [f"{i},{'abc'[i % 3] * (1 + 40 * (i > 20))}" for i in range(60)]
+    for name, cut, last in (("a", 0, 10), ("b", 10, 45), ("c", 45, 60)):
+        (tmp_path / f"{name}.csv").write_text("\n".join(["k,t", *rows[cut:last]]) + "\n")
+    f = fw.read_csv(str(tmp_path))
+    assert f.dtypes() == {"k": "number", "t": "string"} and f.get("k").to_list() == list(range(60))
+    assert f.iloc([59, 10]).get("k").to_list() == [59, 10] and f.filter("k > 50").labels() == list(range(51, 60))
+    texts = f.get("t").to_list()
+    (tmp_path / "b.csv").write_text("\n".join([" ,", "k,t", *rows[10:45]]) + "\n")  # a blank row before the header
+    (tmp_path / "c.csv").write_text("\n".join(rows[45:]) + "\n")  # no header: a row is no header unless it is the first file's
+    (tmp_path / "d.csv").write_text("k,t\n")
+    g = fw.read_csv(str(tmp_path))
+    assert g.get("k").to_list() == list(range(60)) and g.get("t").to_list() == texts and fw.read_csv(str(tmp_path), header=False).shape == (63, 2)
