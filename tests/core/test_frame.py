@@ -210,3 +210,10 @@ def test_csv_folder(spark, tmp_path):
     (tmp_path / "d.csv").write_text("k,t\n")
     g = fw.read_csv(str(tmp_path))
     assert g.get("k").to_list() == list(range(60)) and g.get("t").to_list() == texts and fw.read_csv(str(tmp_path), header=False).shape == (63, 2)
+
+
+def test_table_parts(spark, tmp_path):
+    """Several parts that the engine wrote, with tabs."""
+    Frame(spark.range(0, 40, 1, 4).select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("t"))).to_csv(str(tmp_path / "p"), sep="\t", distributed=True)
+    f = fw.read_table(str(tmp_path / "p"))
+    assert f.to_records() == [{"id": i, "t": f"s{i % 3}"} for i in range(40)]
