@@ -217,3 +217,5 @@ def test_table_parts(spark, tmp_path):
     Frame(spark.range(0, 40, 1, 4).select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("t"))).to_csv(str(tmp_path / "p"), sep="\t", distributed=True)
     f = fw.read_table(str(tmp_path / "p"))
     assert f.to_records() == [{"id": i, "t": f"s{i % 3}"} for i in range(40)]
+    g = fw.read_tsv(str(tmp_path / "p"), index_col="id")
+    assert g.labels() == list(range(40)) and g.columns == ["t"] and g.loc(7) == {"t": "s1"}
