@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .operators.frame import Frame
 from .operators.joins import concat, merge
@@ -48,9 +52,13 @@ def placed(f: Frame) -> DataFrame:
     return d.sdf.select(*[F.col(f"`{c}`") for c in f.columns], F.col(ORD).cast("bigint").alias("pos"))
 
 
-def listed(f: Frame, rows: list, schema: str) -> DataFrame:
-    """Values that an operation returned to the driver."""
-    return f.sdf.sparkSession.createDataFrame(rows, schema)
+def listed(f: Frame, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Values that an operation returned to the driver; sent back in Arrow batches, so that they aren't held as rows again."""
+    kind = T.StructType.fromDDL(schema)
+    own = to_arrow_schema(kind)
+    parts = iter(lambda r=iter(rows): list(islice(r, 10_000)), [])
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part, strict=True), own.types, strict=True)], schema=own) for part in parts]
+    return f.sdf.sparkSession.createDataFrame(pa.Table.from_batches(batches, own), kind)
 
 
 def rounded(f: Frame, *columns: str, digits: int = 4) -> Frame:
@@ -244,7 +252,7 @@ as_rows = lambda s: s.frame.reset_index("label")
 SPARSE = "(SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer)"
 sparse = lambda f: series(holes(f, "c_acctbal", "c_custkey % 4 = 0"))
 query("series_basics", "customer", "SELECT c_acctbal AS v, c_custkey AS label, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, 'c_acctbal' AS name, count(*) OVER () AS n FROM customer")(
-    lambda f: (lambda s: listed(f, [(v, k, i, s.name, len(s)) for i, (v, k) in enumerate(zip(s.to_list(), s.index(), strict=True))], "v double, label bigint, pos bigint, name string, n bigint"))(series(f)))
+    lambda f: (lambda s, n: listed(f, ((v, k, i, s.name, n) for i, (v, k) in enumerate(zip(s.to_list(), s.index(), strict=True))), "v double, label bigint, pos bigint, name string, n bigint"))(series(f), len(series(f))))  # fmt: skip  a length is a job
 query("series_to_dict", "customer", "SELECT c_nationkey AS label, arg_max(c_acctbal, c_custkey) AS v FROM customer GROUP BY 1")(lambda f: listed(f, list(f.sort_values("c_custkey").set_index("c_nationkey").get("c_acctbal").to_dict().items()), "label int, v double"))
 query("series_iloc_loc", "customer", "SELECT arg_max(c_acctbal, c_custkey) AS last, arg_min(c_acctbal, c_custkey) AS first, max(c_acctbal) FILTER (c_custkey = 9) AS nine, NULL AS none FROM customer")(lambda f: (lambda s: listed(f, [(s.iloc(-1), s.iloc(0), s.loc(9), s.loc(-9))], "last double, first double, nine double, none double"))(series(f)))
 query("series_head_tail", "customer", "SELECT * FROM (SELECT c_custkey AS label, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS a, row_number() OVER (ORDER BY c_custkey DESC) AS b FROM customer) WHERE a <= 40 OR b <= 30".replace("SELECT * FROM", "SELECT label, c_acctbal FROM"))(lambda f: concat([as_rows(series(f).head(40)), as_rows(series(f).tail(30))]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calls import arity
 from ..functions.cells import text_of
 from ..plans.ordering import IDX, ORD
-from .frame import Frame
+from .frame import Frame, column_values
 
 
 class Series:
@@ -30,7 +30,7 @@ class Series:
         return Series(frame, self.name if name is ... else name)
 
     def to_list(self) -> list:
-        return [r[0] for r in self.frame.values()]
+        return column_values(self.frame._sorted().select(self._c))
 
     values = to_list
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from framewright import catalog
+from framewright import Series, catalog
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,3 +33,12 @@ def test_query(spark, tables, name):
     assert cols == sorted(want.columns)
     rows = want.fetchall()
     assert sorted(repr([plain(r[k]) for k in cols]) for r in got.collect()) == sorted(repr([plain(r[want.columns.index(k)]) for k in cols]) for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
+def test_length_is_one_job(spark, monkeypatch):
+    """A series' length is a job of Spark's: series_basics asks once, not once a row."""
+    asked, count = [], Series.__len__
+    monkeypatch.setattr(Series, "__len__", lambda self: asked.append(1) or count(self))
+    rows = catalog.QUERIES["series_basics"](spark, D).collect()
+    assert len(asked) == 1 and {r["n"] for r in rows} == {len(rows)}
