@@ -298,17 +298,8 @@ def lines_file(f: Frame, line, header: str) -> str:
 
 ARRAYS = "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderstatus FROM orders"
 short = lambda f: f.select(["o_orderkey", "o_orderstatus"])
-query("read_json_array", "orders", ARRAYS)(lambda f: read_json(document(f, short(f).to_json())))
-query("read_json_columns", "orders", ARRAYS)(lambda f: read_json(document(f, short(f).to_json(orient="list"))))
-
-
-def document(f: Frame, text: str) -> str:
-    """One file that holds the text."""
-    path = fresh_path(f.sdf.sparkSession, "document")
-    f.sdf.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return path
-
-
+query("read_json_array", "orders", ARRAYS)(lambda f: read_json(written(short(f), "to_json", distributed=True)))
+query("read_json_columns", "orders", ARRAYS)(lambda f: read_json(written(short(f), "to_json", orient="list", distributed=True)))
 query("csv_roundtrip", "customer", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name FROM customer")(lambda f: parse_csv(f.select(["c_custkey", "c_name"]).to_csv()))
 query("tsv_roundtrip", "customer", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name FROM customer")(lambda f: parse_tsv(f.select(["c_custkey", "c_name"]).to_csv(sep="\t")))
 query("json_roundtrip", "customer", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name FROM customer")(lambda f: parse_json(f.select(["c_custkey", "c_name"]).to_json()))

@@ -217,7 +217,8 @@ class Frame:
         return csv_parts(self, path, sep, header, index) if distributed else csv_text(self, path, sep, header, index)
 
     def to_json(self, path: str | None = None, orient: str = "records", space: int = 2, lines: bool = False, distributed: bool = False) -> str | None:
-        """One text (and file); distributed: a folder of part files, a record a line, written by the executors."""
+        """One text (and file); distributed: a folder of part files, a record a line or (not lines) each a document, written by
+        the executors."""
         from ..sources.text import json_parts, json_text
 
         return json_parts(self, path, orient, lines) if distributed else json_text(self, path, orient, space, lines)

@@ -5,8 +5,13 @@ from __future__ import annotations
 import csv
 import io
 import json
+import tempfile
+from collections.abc import Iterator
+from contextlib import ExitStack
+from functools import partial
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.cells import kind, text_of
 from ..operators.frame import Frame
 from ..plans.ordering import IDX, ORD, ROW_BITS
-from ..session import session, stored
+from ..session import prepare, session, stored
 
 #: Texts that count as missing, in any case.
 NA = ("", "NaN", "NA", "null", "None")
@@ -67,7 +72,7 @@ FILE_BITS = 40
 
 def file_rows(sdf: DataFrame) -> DataFrame:
     """Rows of text files with the file, the place where their split begins, and an ordinal that follows each file."""
-    return sdf.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn(ORD, F.monotonically_increasing_id())
+    return sdf.select("*", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__block")).withColumn(ORD, F.monotonically_increasing_id())
 
 
 def by_file(sdf: DataFrame, files: list[tuple[str, int | None]]) -> DataFrame:
@@ -177,29 +182,32 @@ def read_json(path: str, orient: str | None = None, lines: bool = False, index_c
         raise ValueError("lines needs orient 'records'")
     spark = spark or session()
     if lines:
-        texts = spark.read.text(path).where(F.trim("value") != "")
-        names = first_seen(texts.select(F.json_object_keys("value").alias("a"), F.monotonically_increasing_id().alias("at")))
-        sdf = spark.read.json(path)
+        texts = file_rows(spark.read.text(path)).where(F.trim("value") != "")
+        names = first_seen(texts.select(F.json_object_keys("value").alias("a"), F.struct("__file", ORD).alias("at")))
+        files = {r[0] for r in texts.select("__file").distinct().collect()}
+        sdf = file_rows(spark.read.json(path))
     else:
-        whole = spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("value"), F.monotonically_increasing_id().alias("at"))
-        starts = {r[0] for r in whole.select(F.substring("value", 1, 1)).distinct().limit(3).collect()}
+        whole = file_rows(spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))).where("value <> ''")
+        begun = whole.select(F.substring("value", 1, 1), "__file").collect()  # a row a file
+        files, starts = {r[1] for r in begun}, {r[0] for r in begun}
         shape = "list" if starts == {"{"} else "records" if starts == {"["} else None
         if shape is None or orient not in (None, shape):
             raise ValueError("JSON does not have the shape of its orient")
-        sdf = spark.read.json(path, multiLine=True)
+        sdf = file_rows(spark.read.json(path, multiLine=True))
         if shape == "records":
-            records = whole.select("at", F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("i", "m"))
-            names = first_seen(records.select(F.map_keys("m").alias("a"), F.struct("at", "i").alias("at")))
+            records = whole.select("__file", F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("i", "m"))
+            names = first_seen(records.select(F.map_keys("m").alias("a"), F.struct("__file", "i").alias("at")))
         else:
-            names = first_seen(whole.select(F.json_object_keys("value").alias("a"), "at"))
+            names = first_seen(whole.select(F.json_object_keys("value").alias("a"), F.col("__file").alias("at")))
             if any(not isinstance(sdf.schema[c].dataType, T.ArrayType) for c in names):
                 raise ValueError("JSON columns must be arrays")
-            sdf = sdf.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in names])).alias(*names)) if names else sdf
+            sdf = sdf.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in names])).alias(*names), "__file", "__block").withColumn(ORD, F.monotonically_increasing_id()) if names else sdf
     if "_corrupt_record" in sdf.columns and "_corrupt_record" not in names:
         raise ValueError("JSON must hold records or column lists")
     if not names:
         return Frame.create([], spark=spark)
-    sdf = sdf.select(*[F.col(f"`{c}`") for c in names]).withColumn(ORD, F.monotonically_increasing_id())
+    sdf = sdf.select(*[F.col(f"`{c}`") for c in names], "__file", "__block", ORD)
+    sdf = by_file(sdf, [(x, None) for x in sorted(files)]) if len(files) > 1 else sdf.drop("__file", "__block")
     return with_index(flat(Frame(sdf, names, False, [F.col(ORD)]), numbers=True), index_col)
 
 
@@ -257,11 +265,55 @@ def csv_parts(f: Frame, path: str, sep: str, header: bool, index: bool) -> None:
 
 
 def json_parts(f: Frame, path: str, orient: str, lines: bool) -> None:
-    """Part files in path, in the frame's order, a record a line; nulls are written."""
-    if orient != "records" or not lines:
-        raise ValueError("distributed JSON needs lines")
-    cells = [(text_of(c, f.dtype(n)) if kind(f.dtype(n)) == "date" else c).alias(n) for n, c in f._all().items()]
-    f._sorted().select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    """Part files in path, in the frame's order; nulls are written. A record a line, or (not lines) each file a document of
+    its own: an array of its records, or an object of its column lists. Documents are written as rows arrive."""
+    if orient not in ("records", "list") or lines and orient == "list":
+        raise ValueError("lines needs orient 'records'")
+    cells = {n: text_of(c, f.dtype(n)) if kind(f.dtype(n)) == "date" else c for n, c in f._all().items()}
+    if orient == "records":
+        rows = f._sorted().select(F.to_json(F.struct(*[c.alias(n) for n, c in cells.items()]), {"ignoreNullFields": "false"}).alias("value"))
+    else:  # a cell's JSON is that of {"v":cell} without its frame
+        one = [F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) for c in cells.values()]
+        rows = f._sorted().select(*[F.substr(j, F.lit(6), F.length(j) - 6).alias(f"c{i}") for i, j in enumerate(one)])
+    if not lines:
+        prepare(rows.sparkSession)
+        # a frame without rows may have no partition that could write
+        base = rows.sparkSession.createDataFrame([], rows.schema).repartition(1) if f.empty else rows
+        rows = base.mapInArrow(array_lines if orient == "records" else partial(list_lines, names=list(cells)), "value string")
+    rows.write.text(path)
+
+
+def text_batch(lines: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(lines, pa.string())], ["value"])
+
+
+def array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON array of the records."""
+    before = "["
+    for batch in batches:
+        if batch.num_rows:
+            first, *rest = batch.column(0).to_pylist()
+            yield text_batch([before + first, *["," + r for r in rest]])
+            before = ","
+    yield text_batch(["[]" if before == "[" else "]"])
+
+
+def list_lines(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON object of lists. Columns wait in files of the task's, as each comes as a whole."""
+    with ExitStack() as stack:
+        files = [stack.enter_context(tempfile.TemporaryFile("w+", encoding="utf-8", newline="\n")) for _ in names]
+        before = ""
+        for batch in batches:
+            if batch.num_rows:
+                for file, column in zip(files, batch.columns, strict=True):
+                    file.write(before + ",".join(column.to_pylist()) + "\n")
+                before = ","
+        for i, (name, file) in enumerate(zip(names, files, strict=True)):
+            yield text_batch([("]," if i else "{") + json.dumps(name, ensure_ascii=False) + ":["])
+            file.seek(0)
+            for line in file:
+                yield text_batch([line.rstrip("\n")])
+        yield text_batch(["]}" if names else "{}"])
 
 
 def json_text(f: Frame, path: str | None, orient: str, space: int, lines: bool) -> str:

@@ -219,3 +219,17 @@ def test_table_parts(spark, tmp_path):
     assert f.to_records() == [{"id": i, "t": f"s{i % 3}"} for i in range(40)]
     g = fw.read_tsv(str(tmp_path / "p"), index_col="id")
     assert g.labels() == list(range(40)) and g.columns == ["t"] and g.loc(7) == {"t": "s1"}
+
+
+@pytest.mark.parametrize("options", [{}, {"orient": "list"}, {"lines": True}])
+def test_json_parts(spark, tmp_path, options):
+    """Documents that the executors write, one a part, hold what one text holds; their rows keep their order."""
+    sdf = spark.range(0, 40, 1, 4).select(F.col("id").alias('k "é'), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a,"]}\n['), F.col("id"))).alias("t"), (F.col("id") % 2 == 0).alias("b"))
+    f, path = Frame(sdf), str(tmp_path / "p")
+    f.to_json(path, distributed=True, **options)
+    g = fw.read_json(path, lines=bool(options.get("lines")))
+    assert g.columns == f.columns and g.to_records() == f.to_records() == fw.parse_json(f.to_json(**options), lines=bool(options.get("lines"))).to_records()
+    assert g.filter(F.col("b")).labels() == list(range(0, 40, 2))
+    if not options.get("lines"):
+        f.filter("false").to_json(str(tmp_path / "none"), distributed=True, **options)
+        assert fw.read_json(str(tmp_path / "none")).shape[0] == 0
