@@ -5,21 +5,23 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import ExitStack
 from functools import partial
+from itertools import chain, groupby
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import kind, text_of
 from ..operators.frame import Frame
 from ..plans.ordering import IDX, ORD, ROW_BITS
-from ..session import prepare, session, stored
+from ..session import fresh_path, prepare, session, stored
 
 #: Texts that count as missing, in any case.
 NA = ("", "NaN", "NA", "null", "None")
@@ -81,8 +83,7 @@ def by_file(sdf: DataFrame, files: list[tuple[str, int | None]]) -> DataFrame:
     their own, and no more rows than bytes."""
     ranks = sdf.sparkSession.createDataFrame([(f, k, at) for k, (f, at) in enumerate(files)], "__file string, __rank bigint, __at bigint")
     kept = sdf.join(F.broadcast(ranks), "__file").where(F.col("__at").isNull() | (F.col(ORD) != F.col("__at")))
-    place = F.col("__block") + F.col(ORD).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return kept.withColumn(ORD, F.shiftleft("__rank", FILE_BITS) + place).drop("__file", "__block", "__rank", "__at")
+    return kept.withColumn(ORD, F.shiftleft("__rank", FILE_BITS) + place()).drop("__file", "__block", "__rank", "__at")
 
 
 def read_csv(path: str, sep: str = ",", header: bool = True, names: list[str] | None = None, index_col: str | int | None = None, na_values: list[str] | None = None, multiline: bool | None = None, spark: SparkSession | None = None) -> Frame:
@@ -175,9 +176,67 @@ def first_seen(keys: DataFrame) -> list[str]:
     return [r["k"] for r in seen.orderBy("first").select("k").collect()]
 
 
+def place() -> Column:
+    """Of a row of file_rows within its file."""
+    return F.col("__block") + F.col(ORD).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+
+
+def as_lines(pieces: DataFrame) -> str:
+    """A folder of JSON lines in the order of the files, each an array of records that comes in pieces cut at `}`. The
+    pieces of a file pass through one task, in order; it holds a batch of them and an unfinished record."""
+    spark = prepare(pieces.sparkSession)
+    path = fresh_path(spark, "records")
+    sorted_pieces = pieces.withColumn("__place", place()).repartitionByRange("__file").sortWithinPartitions("__file", "__place")
+    sorted_pieces.select("__file", "value").mapInArrow(record_lines, "value string").write.text(path)
+    return path
+
+
+def record_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A line a record; what isn't JSON becomes a line that isn't, which its reader reports."""
+    decode, space = json.JSONDecoder().raw_decode, re.compile(r"\s*")
+    file, rest, opened, closed, after = None, "", False, False, False  # after: True after a record, None after a comma
+    for batch in chain(batches, [None]):
+        runs = [(None, None)] if batch is None else [(f, [v for _, v in run]) for f, run in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), key=lambda x: x[0])]
+        for name, values in runs:
+            if name != file:
+                if file is not None and (rest.strip() or not closed):
+                    yield text_batch(["broken"])
+                file, rest, opened, closed, after = name, "", False, False, False
+                text = "}".join(values).lstrip("\ufeff") if values else ""
+            else:
+                text = rest + "}" + "}".join(values)
+            if name is None:
+                continue
+            at, lines = 0, []
+            while not closed:
+                at = space.match(text, at).end()
+                mark = text[at : at + 1]
+                if not opened and mark == "[":
+                    opened, at = True, at + 1
+                elif opened and mark == "]" and after is not None:
+                    closed, at = True, at + 1
+                elif after and mark == ",":
+                    after, at = None, at + 1
+                elif opened and not after and mark == "{":
+                    try:
+                        end = decode(text, at)[1]
+                    except ValueError:  # unfinished, or broken: then it stays to the end
+                        break
+                    lines.append(text[at:end].replace("\n", " ").replace("\r", " "))
+                    at, after = end, True
+                elif mark:
+                    lines.append("broken")
+                    at, closed = len(text), True
+                else:
+                    break
+            rest = text[at:].strip()[:200] if closed else text[at:]
+            if lines:
+                yield text_batch(lines)
+
+
 def read_json(path: str, orient: str | None = None, lines: bool = False, index_col: str | int | None = None, spark: SparkSession | None = None) -> Frame:
     """An array of records, an object of column lists, or (lines) one record a line; columns in first-seen order. Files
-    are parsed by the executors: by the line, or whole where the format can't be split."""
+    are parsed by the executors: by the line (arrays are written as lines first), column lists whole."""
     if lines and orient == "list":
         raise ValueError("lines needs orient 'records'")
     spark = spark or session()
@@ -187,21 +246,21 @@ def read_json(path: str, orient: str | None = None, lines: bool = False, index_c
         files = {r[0] for r in texts.select("__file").distinct().collect()}
         sdf = file_rows(spark.read.json(path))
     else:
-        whole = file_rows(spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))).where("value <> ''")
-        begun = whole.select(F.substring("value", 1, 1), "__file").collect()  # a row a file
-        files, starts = {r[1] for r in begun}, {r[0] for r in begun}
+        pieces = file_rows(spark.read.text(path, lineSep="}"))
+        text = F.regexp_replace("value", "^[\ufeff\\s]+", "")
+        begun = pieces.where(text != "").groupBy("__file").agg(F.min_by(F.substring(text, 1, 1), ORD)).collect()  # a row a file
+        files, starts = {r[0] for r in begun}, {r[1] for r in begun}
         shape = "list" if starts == {"{"} else "records" if starts == {"["} else None
         if shape is None or orient not in (None, shape):
             raise ValueError("JSON does not have the shape of its orient")
-        sdf = file_rows(spark.read.json(path, multiLine=True))
         if shape == "records":
-            records = whole.select("__file", F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("i", "m"))
-            names = first_seen(records.select(F.map_keys("m").alias("a"), F.struct("__file", "i").alias("at")))
-        else:
-            names = first_seen(whole.select(F.json_object_keys("value").alias("a"), F.col("__file").alias("at")))
-            if any(not isinstance(sdf.schema[c].dataType, T.ArrayType) for c in names):
-                raise ValueError("JSON columns must be arrays")
-            sdf = sdf.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in names])).alias(*names), "__file", "__block").withColumn(ORD, F.monotonically_increasing_id()) if names else sdf
+            return read_json(as_lines(pieces), lines=True, index_col=index_col, spark=spark)
+        whole = file_rows(spark.read.text(path, wholetext=True).select(text.alias("value"))).where("value <> ''")
+        sdf = file_rows(spark.read.json(path, multiLine=True))
+        names = first_seen(whole.select(F.json_object_keys("value").alias("a"), F.col("__file").alias("at")))
+        if any(not isinstance(sdf.schema[c].dataType, T.ArrayType) for c in names):
+            raise ValueError("JSON columns must be arrays")
+        sdf = sdf.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in names])).alias(*names), "__file", "__block").withColumn(ORD, F.monotonically_increasing_id()) if names else sdf
     if "_corrupt_record" in sdf.columns and "_corrupt_record" not in names:
         raise ValueError("JSON must hold records or column lists")
     if not names:

@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -233,3 +234,22 @@ def test_json_parts(spark, tmp_path, options):
     if not options.get("lines"):
         f.filter("false").to_json(str(tmp_path / "none"), distributed=True, **options)
         assert fw.read_json(str(tmp_path / "none")).shape[0] == 0
+
+
+def test_json_array_in_pieces(spark, tmp_path):
+    """An array is cut into records a batch at a time; braces in texts and cut records don't matter, broken arrays raise."""
+    rows = [{"k": i, "t": "}, {[" * (i % 4) + "é\\\"", "n": {"x": [i, {}]}} for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for k, part in enumerate((rows[:250], rows[250:260], [], rows[260:])):
+            (tmp_path / f"{k}.json").write_text("\n" + json.dumps(part, indent=k or None), encoding="utf-8")
+        f = fw.read_json(str(tmp_path))
+        assert f.get("k").to_list() == list(range(300)) and f.get("t").to_list() == [r["t"] for r in rows] and f.get("n").to_list()[5] == '{"x":["5","{}"]}'
+        for broken in ('[{"k": 1}', '[{"k": 1} {"k": 2}]', '[{"k": 1},]', '[{"k": 1}] x', '[3, {"k": 1}]'):
+            (tmp_path / "3.json").write_text(broken)
+            with pytest.raises(ValueError):
+                fw.read_json(str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
